@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tasklattice.session import table
 
 from . import consensus as cs
-from . import splits, topn
+from . import neardup, splits, topn
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> cs.Consensus:
@@ -50,4 +50,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_candidates(table(spark, sf_dir, "candidates"), 3).select("task_id", "candidate_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_found, p2_splits, p3_found)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tasks that share 0.7 of their words."""
+    return neardup.near_pairs(table(spark, sf_dir, "tasks"), 0.7)
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and group of every task, and its number of links."""
+    return neardup.near_groups(table(spark, sf_dir, "tasks"), 0.7)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_found, p2_splits, p3_found, p5_found, p5_groups)}
+
+SQL: dict[str, str] = {}
