@@ -212,27 +212,10 @@ def set_join(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     return scratch.write(both.select("a", "b", "wa", "wb").mapInArrow(_check(p, q), "a long, b long, overlap double"), "links")
 
 
-def classes(sets: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(representatives, members) of rows with equal word sets; rows with empty sets are left out.
-
-    representatives: (id long, words), one row per distinct set; members: (key,
-    id) of every row. Sets are compared by a digest of 128 bits. Only rows that
-    repeat an earlier set take part in a join, so the sets aren't shuffled.
-    """
-    rows = sets.where(F.size("words") > 0).select(F.monotonically_increasing_id().alias("id"), key, "words", F.xxhash64("words").alias("d0"), F.xxhash64(F.lit(1), "words").alias("d1"))
-    rows = scratch.write(rows, "rows")
-    first = rows.groupBy("d0", "d1").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = scratch.write(rows.select("id", "d0", "d1").join(first, ["d0", "d1"]).select("id", "first"), "copies")
-    reps = rows.select("id", "words").join(copies.where("id != first").select("id"), "id", "left_anti")
-    members = rows.select("id", key).join(copies, "id", "left").select(key, F.coalesce("first", "id").alias("id"))
-    return reps, members
-
-
 def task_sets(tasks: DataFrame) -> DataFrame:
-    """(task_id, words): all words of request and accepted commands; one row per non-null task_id."""
+    """(task_id, words) of every row: all words of request and accepted commands."""
     text = F.lower(F.concat_ws("\n", "user_request", "accepted_commands"))
-    once = tasks.where(F.col("task_id").isNotNull()).select("task_id", text.alias("words")).groupBy("task_id").agg(F.max("words").alias("words"))
-    return ws.word_sets(once, ["task_id"], ["words"])
+    return ws.word_sets(tasks.select("task_id", text.alias("words")), ["task_id"], ["words"])
 
 
 def near_tasks(tasks: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +225,7 @@ def near_tasks(tasks: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, Dat
     words take no part. Every non-null task_id counts once.
     """
     scratch = Scratch(tasks.sparkSession, "neardup")
-    reps, members = classes(task_sets(tasks), "task_id", scratch)
+    reps, members = ws.set_classes(task_sets(tasks), "task_id", ["words"], scratch)
     return set_join(reps, threshold, scratch), members
 
 

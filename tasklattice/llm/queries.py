@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tasklattice.session import table
 
 from . import consensus as cs
-from . import neardup, splits, topn
+from . import neardup, overlap, splits, topn
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> cs.Consensus:
@@ -50,6 +50,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_candidates(table(spark, sf_dir, "candidates"), 3).select("task_id", "candidate_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a held-out and a training task that share 0.7 of the words of request and of files."""
+    pairs = overlap.cross_split_pairs(table(spark, sf_dir, "tasks"), 0.7)
+    return pairs.select(F.least("held", "train").alias("task_id_a"), F.greatest("held", "train").alias("task_id_b"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps with training by held-out split and family."""
+    return overlap.overlap_report(table(spark, sf_dir, "tasks"), table(spark, sf_dir, "sft"), 0.7)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tasks that share 0.7 of their words."""
     return neardup.near_pairs(table(spark, sf_dir, "tasks"), 0.7)
@@ -60,6 +71,6 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "tasks"), 0.7)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_found, p2_splits, p3_found, p5_found, p5_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_groups)}
 
 SQL: dict[str, str] = {}

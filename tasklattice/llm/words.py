@@ -143,3 +143,33 @@ def rare_first(splits: np.ndarray, hashes: np.ndarray, known: np.ndarray, counts
     row = np.repeat(np.arange(len(splits) - 1), np.diff(splits))
     order = np.lexsort((hashes, rank, row))
     return hashes[order], rank[order]
+
+
+def set_classes(sets: DataFrame, key: str, cols: list[str], scratch, marks: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(representatives, members) of rows whose word sets ``cols`` are all equal; rows with an empty set are left out.
+
+    representatives: (id long, cols, marks), one row per class, a boolean mark
+    being true if it is for any member; members: (key, id, marks), one row per
+    non-null key. Of several rows with one key the one with the smallest digest
+    holds. Sets are compared by a digest of 128 bits. Only rows that repeat an
+    earlier key or set enter a join, so the sets themselves aren't shuffled.
+    """
+    marks = marks or []
+    filled = sets.where(F.col(key).isNotNull())
+    for c in cols:
+        filled = filled.where(F.size(c) > 0)
+    rows = filled.select(F.monotonically_increasing_id().alias("id"), key, *marks, *cols, F.xxhash64(*cols).alias("d0"), F.xxhash64(F.lit(1), *cols).alias("d1"))
+    rows = scratch.write(rows, "rows")
+    slim = rows.select("id", key, *marks, "d0", "d1")
+    held = slim.groupBy(key).agg(F.min(F.struct("d0", "d1", "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select(key, F.col("m.id").alias("held"))
+    again = scratch.write(slim.select("id", key).join(held, key).where("id != held").select("id"), "again")
+    live = slim.join(again, "id", "left_anti")
+    flags = [F.max(m).alias(f"any_{m}") for m in marks]
+    first = live.groupBy("d0", "d1").agg(F.min("id").alias("first"), F.max("id").alias("last"), *flags).where("first < last").drop("last")
+    copies = scratch.write(live.select("id", "d0", "d1").join(first, ["d0", "d1"]).drop("d0", "d1"), "copies")
+    members = live.select("id", key, *marks).join(copies.select("id", "first"), "id", "left").select(key, *marks, F.coalesce("first", "id").alias("id"))
+    reps = rows.select("id", *marks, *cols).join(again.union(copies.where("id != first").select("id")), "id", "left_anti")
+    if marks:
+        own = copies.where("id = first").drop("first")
+        reps = reps.join(own, "id", "left").select("id", *cols, *[F.coalesce(f"any_{m}", m).alias(m) for m in marks])
+    return reps, members
