@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tasklattice.session import table
 
 from . import consensus as cs
-from . import neardup, overlap, splits, topn
+from . import leaks, neardup, overlap, packing, quality, splits, topn
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> cs.Consensus:
@@ -71,6 +71,37 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "tasks"), 0.7)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_groups)}
+def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequence of 2048 tokens of every document."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p6_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequence of every instruction record, with a limit on loss-bearing tokens."""
+    return packing.pack_messages(table(spark, sf_dir, "sft"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the held-out items they share ten consecutive words with."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), 10).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that share ten consecutive words with a document and half of whose words stand there in runs of five or more, in any order."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), 10, 0.5, 5)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with visible text most of which is no running prose."""
+    stats = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return stats.where("visible > 0 and prose_share < 0.5").select("doc_id")
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics and the nearest structural profile of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_groups, p6_sequences, p6_messages, p7_found, p7_report, p8_found, p8_stats)}
 
 SQL: dict[str, str] = {}
