@@ -62,16 +62,12 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (part(np.broadcast_to(p, q.shape)) + part(q)) / 2
 
 
-def _sparse(pairs: Counter, profile: dict) -> float:
-    """Jensen-Shannon divergence of a few counted pairs and a profile {pair: share}."""
-    n = sum(pairs.values())
-    total, seen = 0.0, 0.0
-    for pair, k in pairs.items():
-        d, p = k / n, profile.get(pair, 0.0)
-        m = (d + p) / 2
-        total += d * math.log(d / m) + (p * math.log(p / m) if p else 0.0)
-        seen += p
-    return (total + math.log(2) * max(0.0, 1 - seen)) / 2
+#: Bounds, as powers of e, of the bins for how much oftener than by chance two common words stand together.
+BINS = np.array([-2.0, -1.0, -0.3, 0.3, 1.0, 2.0, 3.0])
+#: A pair with a smaller share of all pairs has a bin of its own.
+RARE_PAIR = 5e-4
+#: Pairs of common words below which a run says nothing of word order.
+FEWEST_PAIRS = 3
 
 
 class Words:
@@ -176,8 +172,11 @@ def _count_pairs(common: dict[str, list[str]]):
     return run
 
 
-def order_profiles(documents: DataFrame, common: dict[str, list[str]]) -> tuple[dict, dict]:
-    """(prose, salad): shares of word pairs per language over all documents, as they are and as chance would have them.
+def order_profiles(documents: DataFrame, common: dict[str, list[str]]) -> tuple[dict, dict, dict]:
+    """(bins, prose, salad): each pair of common words' bin, and the shares of the bins per language as found and as chance gives them.
+
+    A pair's bin says how much oftener than by chance its words stand together
+    in the collection.
 
     Counted over the units of every document that look like prose by their
     characters. The counts, at most the square of the common words per
@@ -185,6 +184,7 @@ def order_profiles(documents: DataFrame, common: dict[str, list[str]]) -> tuple[
     """
     counts = documents.select("text").mapInArrow(_count_pairs(common), "lang string, a long, b long, n long")
     rows = counts.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).collect()
+    bins: dict = {}
     prose: dict = {}
     salad: dict = {}
     for lang in common:
@@ -196,14 +196,19 @@ def order_profiles(documents: DataFrame, common: dict[str, list[str]]) -> tuple[
         for (a, b), k in own.items():
             left[a] += k
             right[b] += k
-        chance = {(a, b): left[a] * right[b] for a in left for b in right}
-        whole = sum(chance.values())
-        prose[lang] = {(lang, *k): v / n for k, v in own.items()}
-        salad[lang] = {(lang, *k): v / whole for k, v in chance.items()}
-    return prose, salad
-
-
-def _judge(common: dict[str, list[str]], prose: dict, salad: dict):
+        found, chance = np.zeros(len(BINS) + 2), np.zeros(len(BINS) + 2)
+        for a in left:
+            for b in right:
+                k, by_chance = own.get((a, b), 0), left[a] * right[b] / n
+                at = 1 + int(np.searchsorted(BINS, math.log(k / by_chance))) if k >= RARE_PAIR * n else 0
+                bins[lang, a, b] = at
+                found[at] += k
+                chance[at] += by_chance
+        prose[lang], salad[lang] = found / found.sum(), chance / chance.sum()
+    return bins, prose, salad
+
+
+def _judge(common: dict[str, list[str]], bins: dict, prose: dict, salad: dict):
     words = Words(common)
     plain = {lang: set(ws) for lang, ws in common.items()}
     ascii_word = re.compile(r"[a-z0-9]+")
@@ -233,8 +238,14 @@ def _judge(common: dict[str, list[str]], prose: dict, salad: dict):
             for lg, found, _ in run:
                 pairs.update(words.pairs(found, lg))
             lg = max(sorted(tongue), key=lambda x: tongue[x])
-            of = Counter({k: v for k, v in pairs.items() if k[0] == lg})
-            chance = of and lg in prose and _sparse(of, salad[lg]) < _sparse(of, prose[lg])
+            seen = np.zeros(len(BINS) + 2)
+            for pair, k in pairs.items():
+                if pair[0] == lg:
+                    seen[bins.get(pair, 0)] += k
+            chance = False
+            if lg in prose and seen.sum() >= FEWEST_PAIRS:
+                to_prose, to_salad = divergence(seen / seen.sum(), np.stack([prose[lg], salad[lg]]))
+                chance = to_salad < to_prose
             weight["salad" if chance else f"prose_{lg}"] += size
             run.clear()
 
@@ -315,6 +326,6 @@ def quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     ranked = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct()
     rows = ranked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set("word")), 1, MOST_COMMON).alias("words")).collect()
     common = {r["lang"]: list(r["words"]) for r in rows}
-    prose, salad = order_profiles(documents, common)
+    bins, prose, salad = order_profiles(documents, common)
     out = "words long, mean_word_length double, visible long, symbol_share double, lines long, ended_share double, common_share double, language string, prose_share double, profile string"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge(common, prose, salad), f"doc_id long, {out}")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge(common, bins, prose, salad), f"doc_id long, {out}")
