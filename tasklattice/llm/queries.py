@@ -104,4 +104,48 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_groups, p6_sequences, p6_messages, p7_found, p7_report, p8_found, p8_stats)}
 
-SQL: dict[str, str] = {}
+# SQL counterparts, over whole tables; where SQL is too slow or can't say it, tests hold the query against brute force.
+_FAMILY = "regexp_replace(lower(provenance.template_family), '[^\\p{L}\\p{Nd}]+', '', 'g')"
+_SP = "[\\s\\x0b\\x85\\p{Z}]"
+_COMMAND = (
+    f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?m)^{_SP}*(?:```|#)[^\\r\\n]*$', '', 'g'), '(?m)^{_SP}*(?:[$>]{_SP}+)+', '', 'g'), '(?:{_SP}|[''\"])+', '', 'g'), ';+$', '')"
+)
+_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
+_SETS = (
+    "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id) AS rn_ FROM tasks WHERE task_id IS NOT NULL) WHERE rn_ = 1),"
+    f" s AS (SELECT task_id, CASE WHEN regexp_replace(lower(split), '[^a-z]+', '', 'g') IN ('train', 'training') THEN 1 WHEN split IS NOT NULL THEN 0 END AS side,"
+    f" list_distinct({_WORDS.replace('{c}', 'coalesce(user_request, chr(32))')}) AS req,"
+    f" list_distinct({_WORDS.replace('{c}', 'coalesce(array_to_string(map_values(setup_files), chr(10)), chr(32))')}) AS files,"
+    f" list_distinct({_WORDS.replace('{c}', 'coalesce(user_request, chr(32)) || chr(10) || coalesce(array_to_string(accepted_commands, chr(10)), chr(32))')}) AS both_ FROM t)"
+)
+
+
+def _pairs(words: str, alias: str, where: str) -> str:
+    """Pairs with an overlap of 0.7 by counting shared words."""
+    return (
+        f"{alias} AS (SELECT a.task_id AS ta, b.task_id AS tb FROM (SELECT task_id, side, len({words}) AS n, unnest({words}) AS w FROM s) a JOIN (SELECT task_id, side, len({words}) AS n, unnest({words}) AS w FROM s) b"
+        f" ON a.w = b.w AND a.task_id < b.task_id AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) {where} GROUP BY 1, 2, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*)))"
+    )
+
+
+_ACROSS = "AND a.side <> b.side"
+_GRAMS = "SELECT DISTINCT {i} AS i, array_to_string(list_slice(w, k, k + 9), ' ') AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - 8)) AS k FROM (SELECT {i}, " + _WORDS.replace("{c}", "text") + " AS w FROM {t} WHERE text IS NOT NULL))"
+
+SQL: dict[str, str] = {
+    "p2_found": (
+        "WITH RECURSIVE t AS (SELECT DISTINCT ON (task_id) * FROM tasks WHERE task_id IS NOT NULL),"
+        f" k AS (SELECT DISTINCT task_id, 'f:' || {_FAMILY} AS key FROM t WHERE {_FAMILY} NOT IN ('', 'llmauthored', 'unknown', 'none', 'na')"
+        f" UNION SELECT DISTINCT task_id, 'c:' || n FROM (SELECT task_id, {_COMMAND} AS n FROM (SELECT task_id, unnest(accepted_commands) AS c FROM t)) WHERE contains(n, '/')),"
+        " h AS (SELECT key, min(task_id) AS hub FROM k GROUP BY key), e AS (SELECT k.task_id AS a, h.hub AS b FROM k JOIN h USING (key) WHERE k.task_id <> h.hub),"
+        " both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, c) AS (SELECT a, a FROM both_ UNION SELECT r.a, both_.b FROM r JOIN both_ ON r.c = both_.a)"
+        " SELECT min(c) AS group_id, a AS task_id FROM r GROUP BY a"
+    ),
+    "p3_found": (
+        "WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY recorded_at DESC NULLS LAST) AS rn FROM candidates WHERE candidate_id IS NOT NULL) WHERE rn = 1),"
+        " v AS (SELECT regexp_replace(lower(task_id), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS task_id, candidate_id, verdict.forbidden_side_effect AS f, verdict.postconditions_passed AS p FROM c WHERE task_id IS NOT NULL),"
+        " r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY f, p DESC, candidate_id) AS k FROM v WHERE f IS NOT NULL AND p IS NOT NULL AND NOT isnan(p)) SELECT task_id, candidate_id FROM r WHERE k <= 3"
+    ),
+    "p4_found": f"WITH {_SETS}, {_pairs('req', 'pr', _ACROSS)}, {_pairs('files', 'pf', _ACROSS)} SELECT pr.ta AS task_id_a, pr.tb AS task_id_b FROM pr JOIN pf ON pr.ta = pf.ta AND pr.tb = pf.tb",
+    "p5_found": f"WITH {_SETS}, {_pairs('both_', 'pb', '')} SELECT ta AS task_id_a, tb AS task_id_b FROM pb",
+    "p7_found": f"SELECT DISTINCT d.i AS doc_id, h.i AS item_id FROM ({_GRAMS.replace('{i}', 'doc_id').replace('{t}', 'documents')}) d JOIN ({_GRAMS.replace('{i}', 'item_id').replace('{t}', 'heldout_items')}) h ON d.g = h.g",
+}
