@@ -32,7 +32,7 @@ def group_folds(df: DataFrame, group: str, n_splits: int) -> DataFrame:
             load, f = heapq.heappop(heap)
             heapq.heappush(heap, (load + r["size"], f))
             out.append((r[group], r["size"], f))
-        return df.sparkSession.createDataFrame(out, sizes.schema.add("fold", "int"))
+        return df.sparkSession.createDataFrame(out, f"`{group}` {dict(sizes.dtypes)[group]}, size long, fold int")
     ordered = sizes.agg(F.sort_array(F.collect_list(F.struct("size", group)), asc=False).alias("groups"))
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast("array<int>").alias("folds"))
 
