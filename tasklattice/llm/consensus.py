@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,7 +84,6 @@ def _joined_counts(patterns: DataFrame, weights: DataFrame) -> DataFrame:
 
 def consensus(
     votes: DataFrame,
-    item: str = "item",
     pattern: str = "pattern",
     smoothing: float = 1.0,
     tolerance: float = 1e-4,
@@ -108,7 +106,8 @@ def consensus(
     Items with the same votes are counted once with their number, so a round
     reads the distinct patterns and shuffles a few numbers per annotator.
     An item whose weighted votes cancel gets a null label; an item without
-    votes gets no row. ``overall`` has Krippendorff's alpha for nominal labels
+    votes (an empty or null pattern) gets no row. Columns of ``votes`` named
+    like a result are replaced by it. ``overall`` has Krippendorff's alpha for nominal labels
     over items with two or more ratings, which allows for missing ratings
     (null if there is no such item or no disagreement is possible).
     """
@@ -183,7 +182,8 @@ def consensus(
     label = F.when(F.col("score") > 0, True).when(F.col("score") < 0, False)
     agreement = F.when(F.col("n_votes") > 1, (F.col("n_yes") * (F.col("n_yes") - 1) + no * (no - 1)) / pairs)
     labelled = scored.select("pattern", "n_votes", "n_yes", "score", label.alias("consensus"), agreement.alias("agreement"))
-    items = votes.withColumnRenamed(pattern, "pattern").join(labelled, "pattern").drop("pattern")
+    own = [c for c in votes.columns if c == pattern or c not in labelled.columns]
+    items = votes.select(*own).withColumnRenamed(pattern, "pattern").join(labelled, "pattern").drop("pattern")
 
     seen = table.select("n00", "n01", "n10", "n11", "who", "w0", "w1").join(whos, "who")
     smooth = lambda a, b: (F.col(a) + smoothing) / (F.col(a) + F.col(b) + 2 * smoothing)

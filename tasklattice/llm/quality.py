@@ -64,7 +64,7 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 #: Bounds, as powers of e, of the bins for how much oftener than by chance two common words stand together.
 BINS = np.array([-2.0, -1.0, -0.3, 0.3, 1.0, 2.0, 3.0])
-#: A pair with a smaller share of all pairs has a bin of its own.
+#: A pair with a smaller share of all pairs, or seen less than three times, has a bin of its own.
 RARE_PAIR = 5e-4
 #: Pairs of common words below which a run says nothing of word order.
 FEWEST_PAIRS = 3
@@ -200,7 +200,7 @@ def order_profiles(documents: DataFrame, common: dict[str, list[str]]) -> tuple[
         for a in left:
             for b in right:
                 k, by_chance = own.get((a, b), 0), left[a] * right[b] / n
-                at = 1 + int(np.searchsorted(BINS, math.log(k / by_chance))) if k >= RARE_PAIR * n else 0
+                at = 1 + int(np.searchsorted(BINS, math.log(k / by_chance))) if k >= max(3, RARE_PAIR * n) else 0
                 bins[lang, a, b] = at
                 found[at] += k
                 chance[at] += by_chance
