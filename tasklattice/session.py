@@ -71,3 +71,13 @@ def _clean() -> None:
             _delete(spark, root)
         except Exception:  # the JVM may be gone already
             pass
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, if they come in fewer partitions than there are cores; else unchanged.
+
+    For steps whose work per byte is large, such as Python on texts. Large
+    inputs come in many partitions, so that nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
