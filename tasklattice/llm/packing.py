@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklattice.session import Scratch
+from tasklattice.session import Scratch, spread
 
 #: Items packed together; a block is what one step holds in memory (24 bytes an item).
 BLOCK = 4096
@@ -37,7 +37,7 @@ def encoding(path: str):
 
 def token_counts(df: DataFrame, keep: list[str], texts: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
     """``keep`` columns and, for each text column, its number of tokens (0 for null). Whole texts are read."""
-    kept = df.select(*keep, *texts)
+    kept = spread(df.select(*keep, *texts))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(keep)]), *(f"`{t}` bigint" for t in texts)])
 
     def run(batches):

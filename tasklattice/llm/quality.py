@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tasklattice.session import spread
+
 #: Words of a run that is compared as one with the profiles of word order.
 RUN_WORDS = 160
 #: A unit this little nearer to a structure than to prose goes with the unit before it.
@@ -48,18 +50,20 @@ _PROSE = np.array([k.startswith("prose") for k in _NAMES])
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:#\d+|[a-z]+);")
 _LEAD = re.compile(r"^(?:\s|>|#|[-*•]\s|\d+[.)]\s|(?:[QA]|User|Reviewer|Assistant|System):\s)+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*", re.UNICODE)
+_NO_SYMBOL = re.compile(r"(?:[^\W_]|\s)+", re.UNICODE)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _STOP = set(".,;:!?'\"()…’“”«»¿¡-")
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence (natural logarithm) of a distribution and each row of ``q``."""
+    """Jensen-Shannon divergence (natural logarithm) of distributions in the last axis."""
     m = (p + q) / 2
+    m = np.where(m > 0, m, 1)
 
     def part(x):
-        return np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(-1)
+        return (x * np.log(np.where(x > 0, x, m) / m)).sum(-1)
 
-    return (part(np.broadcast_to(p, q.shape)) + part(q)) / 2
+    return (part(p) + part(q)) / 2
 
 
 #: Bounds, as powers of e, of the bins for how much oftener than by chance two common words stand together.
@@ -81,37 +85,15 @@ class Words:
             return ""
         return max(sorted(self.index), key=lambda lang: sum(w in self.index[lang] for w in words))
 
-    def classes(self, unit: str, words: list[str], known: dict) -> np.ndarray:
-        function = 0
+    def function_letters(self, words: list[str], lang: str) -> int:
+        known, function = self.index.get(lang, {}), 0
         for w in words:
             if w in known:
                 function += len(w)
             elif 0 < (cut := max(w.find("'"), w.find("’"))) < 3:
                 # an elided article or pronoun before another word
                 function += cut + (len(w) - cut - 1 if w[cut + 1 :] in known else 0)
-        letters = digits = space = stop = symbol = foreign = 0
-        for ch in unit:
-            if ch.isspace():
-                space += 1
-            elif ch in _STOP:
-                stop += 1
-            elif ch < "\x80":
-                if ch.isalpha():
-                    letters += 1
-                elif ch.isdigit():
-                    digits += 1
-                else:
-                    symbol += 1
-            elif ch.isalpha() and ch < "ɐ":
-                # accented Latin letters are ordinary within a word of plain ones
-                letters += 1
-            else:
-                foreign += 1
-        accents = sum("\x7f" < ch < "ɐ" and not ch.isspace() for ch in unit)
-        if accents > 0.2 * max(1, letters):
-            foreign, letters = foreign + accents, max(0, letters - accents)
-        out = np.array([function, max(0, letters - function), digits, space, stop, symbol, foreign], float)
-        return out / max(out.sum(), 1.0)
+        return function
 
     def pairs(self, words: list[str], lang: str) -> Counter:
         """Neighbouring common words."""
@@ -137,17 +119,60 @@ def units(text: str) -> list[str]:
     return [u for u in out if u]
 
 
-def _prose_like(words: Words, unit: str, after_prose: bool = False) -> tuple[str, list[str], int]:
-    """(language, words, nearest profile) of a unit by its character classes."""
-    found = _WORD.findall(unit.lower())
-    lang = words.language(found)
-    shares = words.classes(unit, found, words.index.get(lang, {}))
-    far = divergence(shares, _TABLE)
-    k = int(np.argmin(far))
+def _kind(ch: str) -> int:
+    """Class of a character: letters 0, accented Latin letters 1, digits 2, spaces 3, stops 4, symbols 5, other Latin-range 6, others 7."""
+    if ch.isspace():
+        return 3
+    if ch in _STOP:
+        return 4
+    if ch < "\x80":
+        return 0 if ch.isalpha() else 2 if ch.isdigit() else 5
+    if ch < "ɐ":
+        return 1 if ch.isalpha() else 6
+    return 7
+
+
+_KINDS = np.array([_kind(chr(c)) for c in range(0x250)], np.int64)
+_FAR_SPACES = np.array([c for c in range(0x250, 0x3001) if chr(c).isspace()], np.uint32)
+_FAR_STOPS = np.array(sorted(ord(c) for c in _STOP if ord(c) >= 0x250), np.uint32)
+
+
+def character_classes(units: list[str], function: np.ndarray) -> np.ndarray:
+    """Shares of each unit's characters in CLASSES; ``function`` is its number of letters in function words."""
+    code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
+    kind = np.where(code < 0x250, _KINDS[np.minimum(code, 0x24F)], np.where(np.isin(code, _FAR_SPACES), 3, np.where(np.isin(code, _FAR_STOPS), 4, 7)))
+    n = np.bincount(owner * 8 + kind, minlength=len(units) * 8).reshape(-1, 8).astype(float)
+    # accented letters are ordinary within a word of plain ones; many of them are not
+    broken = n[:, 1] + n[:, 6] > 0.2 * np.maximum(1, n[:, 0] + n[:, 1])
+    letters = n[:, 0] + np.where(broken, 0, n[:, 1])
+    foreign = n[:, 7] + n[:, 6] + np.where(broken, n[:, 1] + n[:, 6], 0)
+    out = np.stack([function, np.maximum(0, letters - function), n[:, 2], n[:, 3], n[:, 4], n[:, 5], foreign], 1)
+    return out / np.maximum(out.sum(1, keepdims=True), 1.0)
+
+
+def read_units(words: Words, texts: list) -> list[list[tuple]]:
+    """Per text its units as (unit, language, words, divergences from the profiles)."""
+    per_text = [units(t or "") for t in texts]
+    every = [u for each in per_text for u in each]
+    if not every:
+        return [[] for _ in texts]
+    found = [_WORD.findall(u.lower()) for u in every]
+    langs = [words.language(f) for f in found]
+    function = np.array([words.function_letters(f, lang) for f, lang in zip(found, langs, strict=True)], float)
+    shares = character_classes(every, function)
+    far = np.concatenate([divergence(shares[k : k + 4096, None], _TABLE[None]) for k in range(0, len(every), 4096)])
+    rows = iter(zip(every, langs, found, far, strict=True))
+    return [[next(rows) for _ in each] for each in per_text]
+
+
+def _nearest(far: np.ndarray, after_prose: bool = False) -> int:
+    """The nearest profile; after a unit of prose, prose if it is nearly as near."""
+    k = int(far.argmin())
     if after_prose and not _PROSE[k]:
-        near = int(np.argmin(np.where(_PROSE, far, 9.0)))
+        near = int(np.where(_PROSE, far, 9.0).argmin())
         k = near if far[near] < far[k] + MARGIN else k
-    return lang, found, k
+    return k
 
 
 def _count_pairs(common: dict[str, list[str]]):
@@ -157,11 +182,11 @@ def _count_pairs(common: dict[str, list[str]]):
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for unit in units(text or ""):
-                    lang, found, k = _prose_like(words, unit)
-                    if _PROSE[k] and len(found) > 3:
-                        total.update(words.pairs(found, lang))
+            for begin in range(0, batch.num_rows, 200):
+                for each in read_units(words, batch.column(0).slice(begin, 200).to_pylist()):
+                    for _, lang, found, far in each:
+                        if len(found) > 3 and _PROSE[_nearest(far)]:
+                            total.update(words.pairs(found, lang))
         if total:
             keys = list(total)
             yield pa.RecordBatch.from_arrays(
@@ -213,14 +238,14 @@ def _judge(common: dict[str, list[str]], bins: dict, prose: dict, salad: dict):
     plain = {lang: set(ws) for lang, ws in common.items()}
     ascii_word = re.compile(r"[a-z0-9]+")
 
-    def judge(text: str | None) -> tuple:
+    def judge(text: str | None, read: list[tuple]) -> tuple:
         text = text or ""
         low = text.lower()
         own = ascii_word.findall(low)
-        visible = sum(not ch.isspace() for ch in text)
+        visible = len("".join(text.split()))
         lines = [x for x in (y.strip() for y in text.splitlines()) if x]
         ended = sum(x[-1] in ".!?…\"'»”" for x in lines)
-        symbols = sum(not ch.isalnum() and not ch.isspace() for ch in text)
+        symbols = len(_NO_SYMBOL.sub("", text))
         lang = words.language(_WORD.findall(low))
         all_words = _WORD.findall(low)
         shared = sum(w in plain.get(lang, ()) for w in all_words)
@@ -250,10 +275,10 @@ def _judge(common: dict[str, list[str]], bins: dict, prose: dict, salad: dict):
             run.clear()
 
         held, prosaic = 0, False
-        for unit in units(text):
-            lg, found, k = _prose_like(words, unit, prosaic)
+        for unit, lg, found, far in read:
+            k = _nearest(far, prosaic)
             prosaic = bool(_PROSE[k])
-            size = sum(not ch.isspace() for ch in unit)
+            size = len("".join(unit.split()))
             if _PROSE[k]:
                 run.append((lg, found, size))
                 held += len(found)
@@ -296,9 +321,10 @@ def _judge(common: dict[str, list[str]], bins: dict, prose: dict, salad: dict):
 
     def run(batches):
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
-                rows = [judge(t) for t in batch.column(1).to_pylist()]
+            for begin in range(0, whole.num_rows, 200):
+                batch = whole.slice(begin, 200)
+                texts = batch.column(1).to_pylist()
+                rows = [judge(t, read) for t, read in zip(texts, read_units(words, texts), strict=True)]
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
 
@@ -324,8 +350,25 @@ def quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """
     # a table of frequent words is small by its nature; no more than MOST_COMMON of a language are used
     ranked = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct()
-    rows = ranked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set("word")), 1, MOST_COMMON).alias("words")).collect()
-    common = {r["lang"]: list(r["words"]) for r in rows}
-    bins, prose, salad = order_profiles(documents, common)
+    held = ranked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set("word")), 1, MOST_COMMON).alias("words")).collect()
+    common = {r["lang"]: list(r["words"]) for r in held}
+    rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    bins, prose, salad = order_profiles(rows, common)
     out = "words long, mean_word_length double, visible long, symbol_share double, lines long, ended_share double, common_share double, language string, prose_share double, profile string"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge(common, bins, prose, salad), f"doc_id long, {out}")
+    return rows.mapInArrow(_judge(common, bins, prose, salad), f"doc_id long, {out}")
+
+
+def counts(documents: DataFrame) -> DataFrame:
+    """(doc_id, words, mean_word_length, lines, ended) of every row, by built-in functions alone.
+
+    Words are runs of a-z and 0-9; lines are the non-blank ones; ended are
+    those that end in . ! or ?. Null and empty texts count 0, their mean is null.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = documents.select("doc_id", words.alias("w"), lines.alias("l"))
+    n = F.size("w")
+    mean = F.when(n > 0, F.round(F.length(F.array_join("w", "")) / n, 6))
+    ended = F.size(F.filter("l", lambda x: F.right(x, F.lit(1)).isin(".", "!", "?")))
+    return rows.select("doc_id", n.alias("words"), mean.alias("mean_word_length"), F.size("l").alias("lines"), ended.alias("ended"))
