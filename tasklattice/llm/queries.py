@@ -35,6 +35,11 @@ def p1_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.annotators.crossJoin(F.broadcast(done.overall.select(F.col("alpha").alias("alpha_of_all"))))
 
 
+def p1_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items, ratings and Krippendorff's alpha."""
+    return _consensus(spark, sf_dir).overall.withColumn("alpha", F.round("alpha", 9))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All groups of two or more tasks that must stay in one split."""
     return splits.grouped_pairs(table(spark, sf_dir, "tasks"))
@@ -102,7 +107,12 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_groups, p6_sequences, p6_messages, p7_found, p7_report, p8_found, p8_stats)}
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic counts per document, without a model: words, their mean length, lines and those that end a sentence."""
+    return quality.counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p1_overall, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_groups, p6_sequences, p6_messages, p7_found, p7_report, p8_found, p8_stats, p8_counts)}
 
 # SQL counterparts, over whole tables; where SQL is too slow or can't say it, tests hold the query against brute force.
 _FAMILY = "regexp_replace(lower(provenance.template_family), '[^\\p{L}\\p{Nd}]+', '', 'g')"
@@ -148,4 +158,17 @@ SQL: dict[str, str] = {
     "p4_found": f"WITH {_SETS}, {_pairs('req', 'pr', _ACROSS)}, {_pairs('files', 'pf', _ACROSS)} SELECT pr.ta AS task_id_a, pr.tb AS task_id_b FROM pr JOIN pf ON pr.ta = pf.ta AND pr.tb = pf.tb",
     "p5_found": f"WITH {_SETS}, {_pairs('both_', 'pb', '')} SELECT ta AS task_id_a, tb AS task_id_b FROM pb",
     "p7_found": f"SELECT DISTINCT d.i AS doc_id, h.i AS item_id FROM ({_GRAMS.replace('{i}', 'doc_id').replace('{t}', 'documents')}) d JOIN ({_GRAMS.replace('{i}', 'item_id').replace('{t}', 'heldout_items')}) h ON d.g = h.g",
+    "p8_counts": (
+        "WITH w AS (SELECT doc_id, " + _WORDS.replace("{c}", "coalesce(text, '')") + " AS w, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)"
+        " SELECT doc_id, len(w) AS words, CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 6) END AS mean_word_length, len(l) AS lines,"
+        " len(list_filter(l, lambda x: right(x, 1) IN ('.', '!', '?'))) AS ended FROM w"
+    ),
+    "p1_overall": (
+        "WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY recorded_at DESC NULLS LAST) AS rn FROM candidates WHERE candidate_id IS NOT NULL) WHERE rn = 1),"
+        " v AS (SELECT candidate_id, unnest(map_keys(judge_votes)) AS j, unnest(map_values(judge_votes)) AS v FROM c),"
+        " o AS (SELECT candidate_id, regexp_replace(lower(j), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS j, min(v.semantically_correct::INT) AS a, max(v.semantically_correct::INT) AS b FROM v WHERE v.semantically_correct IS NOT NULL GROUP BY 1, 2),"
+        " i AS (SELECT candidate_id, count(*) AS m, sum(a) AS y FROM o WHERE a = b GROUP BY 1 HAVING count(*) > 1),"
+        " t AS (SELECT count(*) AS items, sum(m) AS ratings, sum(y) AS y, sum(2.0 * y * (m - y) / (m - 1)) AS seen FROM i)"
+        " SELECT items, ratings, round(1 - seen / (2.0 * y * (ratings - y) / (ratings - 1)), 9) AS alpha FROM t"
+    ),
 }
