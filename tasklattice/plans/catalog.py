@@ -677,6 +677,50 @@ def spread_evenly(spark, d):
     return table(spark, d, "events").select("event_id", F.concat(F.lit("["), F.array_join(out.cast("array<string>"), ", "), F.lit("]")).alias("steps"))
 
 
+@query("SELECT doc_id, CAST(ceil(n_chars / 32.0) * 32 AS BIGINT) AS padded FROM documents WHERE n_chars IS NOT NULL")
+def pad_lengths(spark, d):
+    return table(spark, d, "documents").where("n_chars is not null").select("doc_id", (F.ceil(F.col("n_chars") / 32.0) * 32).cast("long").alias("padded"))
+
+
+@query("SELECT regexp_replace(model, '-(chat|base|sft|[0-9]+)$', '') AS label, count(*) AS n FROM candidates WHERE model IS NOT NULL GROUP BY 1")
+def model_labels(spark, d):
+    label = F.regexp_replace("model", r"-(chat|base|sft|[0-9]+)$", "").alias("label")
+    return table(spark, d, "candidates").where("model is not null").groupBy(label).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ONCE} SELECT coalesce(lower(trim(split)), 'none') AS split, count(DISTINCT provenance.template_family) AS n_families, array_to_string(list_sort(list_distinct(list(coalesce(provenance.template_family, 'none')))), ',') AS families FROM tasks_once GROUP BY 1")
+def family_lists(spark, d):
+    rows = once(spark, d).groupBy(F.coalesce(F.lower(F.trim("split")), F.lit("none")).alias("split"))
+    family = F.coalesce("provenance.template_family", F.lit("none"))
+    return rows.agg(F.count_distinct("provenance.template_family").alias("n_families"), F.array_join(F.array_sort(F.collect_set(family)), ",").alias("families"))
+
+
+@query("SELECT doc_id, string_split(regexp_replace(text, '^[\\s]+', ''), chr(10))[1] AS first_line FROM documents WHERE text IS NOT NULL")
+def first_line(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.get(F.split(F.regexp_replace("text", r"^[\s]+", ""), "\n"), F.lit(0)).alias("first_line"))
+
+
+@query(f"WITH {_CURRENT}, {_USABLE} SELECT candidate_id, CASE WHEN forbidden THEN 'forbidden' WHEN fraction >= 1 THEN 'full' WHEN fraction > 0 THEN 'part' ELSE 'none' END AS outcome, left(coalesce(failure_category, ''), 12) AS preview FROM usable")
+def outcome_preview(spark, d):
+    outcome = F.when(F.col("forbidden"), "forbidden").when(F.col("fraction") >= 1, "full").when(F.col("fraction") > 0, "part").otherwise("none")
+    return usable(spark, d).select("candidate_id", outcome.alias("outcome"), F.left(F.coalesce("failure_category", F.lit("")), F.lit(12)).alias("preview"))
+
+
+@query("SELECT user_id, event_type, count(*) AS attempts, count(*) FILTER (value > 50) AS kept FROM events GROUP BY 1, 2")
+def running_counts(spark, d):
+    from ..session import Scratch
+
+    scratch = Scratch(spark, "running")
+    out = f"{scratch.root}/out"
+    rows = stream.event_stream(spark, f"{d}/events.parquet").withColumn("kept", F.col("value") > 50).withColumn("author", F.struct("user_id", "event_type"))
+
+    def keep(batch: DataFrame, _id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    stream._once(stream.running_counts(rows, "author", "kept").writeStream.outputMode("complete").foreachBatch(keep), f"{scratch.root}/state")
+    return spark.read.parquet(out).select("author.user_id", "author.event_type", "attempts", "kept")
+
+
 # streams
 
 

@@ -71,3 +71,10 @@ def test_workspace_view(spark):
 def test_group_key(spark, family, expected):
     df = spark.createDataFrame([(family,)], "f string")
     assert df.select(tx.group_key(F.col("f"), F.lit("s"))).first()[0] == expected
+
+
+def test_effects(spark):
+    rows = [("x", "", ["f"], [], None), ("", None, None, ["g"], []), (None, "e", [], [], ["m"]), ("", "", [], [], [])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, o string, e string, a array<string>, r array<string>, m array<string>")
+    got = [r[0] for r in df.orderBy("i").select(tx.effects(*[F.col(c) for c in ("o", "e", "a", "r", "m")])).collect()]
+    assert got == [["stdout", "filesystem_write"], ["filesystem_delete"], ["stderr", "filesystem_write"], []]
