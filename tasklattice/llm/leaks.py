@@ -13,6 +13,7 @@ from . import words as ws
 
 #: Up to so many distinct seeds (8 bytes each) of evaluation texts are sent to the tasks; beyond it they are joined.
 SEEDS_SENT = 1 << 20
+_SEED_ROW = "id long, seed long, places long, words long"
 
 
 def _seeds(splits: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,21 +25,28 @@ def _seeds(splits: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _seed_rows(length: int, sent: np.ndarray | None):
-    """(id, seed) of a table (id, lower-cased text), each once per row; only the seeds in ``sent`` if given."""
+    """(id, seed, places, words) of a table (id, lower-cased text), each seed once per row with the number of its places and of the text's words; only the seeds in ``sent`` if given."""
 
     def run(batches):
         for whole in batches:
             for batch in ws.slices(whole, 1):
-                row, seed = _seeds(*ws.hashed_words(batch.column(1)), length)
+                splits, hashes = ws.hashed_words(batch.column(1))
+                words = np.diff(splits)
+                row, seed = _seeds(splits, hashes, length)
                 if sent is not None and len(sent):
                     hit = sent[np.minimum(np.searchsorted(sent, seed), len(sent) - 1)] == seed
                     row, seed = row[hit], seed[hit]
                 elif sent is not None:
                     row, seed = row[:0], seed[:0]
-                splits, seed = ws.distinct_words(np.searchsorted(row, np.arange(batch.num_rows + 1)), seed)
-                if len(seed):
+                order = np.lexsort((seed, row))
+                row, seed = row[order], seed[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (seed[1:] != seed[:-1])])[: len(row)])
+                if len(first):
+                    places = np.diff(np.append(first, len(row)))
+                    row, seed = row[first], seed[first]
                     ids = batch.column(0).to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, np.diff(splits))), pa.array(seed.view(np.int64))], names=["id", "seed"])
+                    columns = (ids[row], seed.view(np.int64), places.astype(np.int64), words[row].astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "seed", "places", "words"])
 
     return run
 
@@ -93,7 +101,19 @@ def tiles(text: np.ndarray, test: np.ndarray, least: int) -> list[tuple[int, int
     return out
 
 
-def _tile(least: int):
+def _reach(text: np.ndarray, test: np.ndarray, least: int) -> int:
+    """Words of the test within its runs of ``least`` words that the text has: no tiling covers more."""
+    if min(len(text), len(test)) < least:
+        return 0
+    a, b = np.arange(len(text) - least + 1), np.arange(len(test) - least + 1)
+    hit = b[np.isin(ws.windows(test, b, b + least), ws.windows(text, a, a + least))]
+    reached = np.zeros(len(test) + 1, np.int64)
+    np.add.at(reached, hit, 1)
+    np.add.at(reached, hit + least, -1)
+    return int((np.cumsum(reached[:-1]) > 0).sum())
+
+
+def _tile(least: int, coverage: float):
     def run(batches):
         for batch in batches:
             docs, items = batch.column(0), batch.column(1)
@@ -103,6 +123,8 @@ def _tile(least: int):
                 for side in (2, 3):
                     one = batch.column(side).slice(k, 1)
                     pair.append(ws.hashed_words(one)[1])
+                if not len(pair[1]) or _reach(pair[0], pair[1], least) / len(pair[1]) < coverage:
+                    continue
                 found = tiles(pair[0], pair[1], least)
                 if found:
                     covered = sum(t[2] for t in found)
@@ -116,14 +138,15 @@ def _tile(least: int):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = 10, coverage: float = 0.0, tile: int | None = None, seeds_sent: int = SEEDS_SENT) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = 10, coverage: float = 0.0, seeds_sent: int = SEEDS_SENT) -> DataFrame:
     """(doc_id, item_id, item_words, longest, n_tiles, covered, coverage) of items with passages in a document.
 
     Seeds, the runs of ``least`` words of both sides, are joined by their
-    hash; every pair that shares one is tiled, so a pair with a common run of
-    ``least`` words can't be missed. Tiles are runs of ``tile`` or more words
-    (``least`` if not given). A pair is kept if the tiles cover at least
-    the share ``coverage`` of the item's words; tiles may stand in any order.
+    hash, and tiles are runs of ``least`` or more words, so a pair with a tile
+    can't be missed. A pair is kept if the tiles cover at least the share
+    ``coverage`` of the item's words; tiles may stand in any order. A seed
+    covers ``least`` words, so pairs with too few places of shared seeds for
+    that share are left out before they are tiled.
     With few seeds the items' are sent to the tasks that read the documents and
     nothing else of the corpus is shuffled, with more both sides are joined.
 
@@ -134,20 +157,22 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 10, coverage: flo
     scratch = Scratch(spark, "leaks")
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("doc_text"))
     tests = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("item_text"))
-    seeds = scratch.write(tests.mapInArrow(_seed_rows(least, None), "id long, seed long"), "seeds")
-    seeds = seeds.select(F.col("id").alias("item_id"), "seed")
+    seeds = scratch.write(tests.mapInArrow(_seed_rows(least, None), _SEED_ROW), "seeds")
+    seeds = seeds.select(F.col("id").alias("item_id"), "seed", "places", "words")
     distinct = seeds.select("seed").distinct()
     if distinct.limit(seeds_sent + 1).count() <= seeds_sent:
+        seeds = F.broadcast(seeds)
         sent = np.sort(distinct.toPandas()["seed"].to_numpy(np.int64).view(np.uint64))
-        hits = docs.mapInArrow(_seed_rows(least, sent), "id long, seed long")
+        hits = docs.mapInArrow(_seed_rows(least, sent), _SEED_ROW)
     else:
-        hits = docs.mapInArrow(_seed_rows(least, None), "id long, seed long")
+        hits = docs.mapInArrow(_seed_rows(least, None), _SEED_ROW)
     hits = hits.select(F.col("id").alias("doc_id"), "seed")
-    pairs = scratch.write(hits.join(seeds, "seed").select("doc_id", "item_id").distinct(), "pairs")
+    shared = hits.join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.sum("places").alias("places"), F.min("words").alias("words"))
+    pairs = scratch.write(shared.where(F.col("places") * least / F.col("words") >= coverage).select("doc_id", "item_id"), "pairs")
     hit_docs = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
     both = pairs.join(hit_docs, "doc_id").join(tests.distinct(), "item_id").select("doc_id", "item_id", "doc_text", "item_text")
     out = "doc_id long, item_id long, item_words long, longest long, n_tiles long, covered long, coverage double"
-    tiled = both.mapInArrow(_tile(tile or least), out).where(F.col("coverage") >= coverage)
+    tiled = both.mapInArrow(_tile(least, coverage), out).where(F.col("coverage") >= coverage)
     # an id with several texts has several results: the one that covers most holds
     best = F.max(F.struct("covered", "longest", "n_tiles", "item_words", "coverage")).alias("b")
     return tiled.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.item_words", "b.longest", "b.n_tiles", "b.covered", "b.coverage")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tasklattice.llm import consensus as cs
-from tasklattice.llm import leaks, neardup, overlap, packing, quality, splits, topn
+from tasklattice.llm import leaks, neardup, overlap, packing, quality, queries, splits, topn
 from tasklattice.llm import words as ws
 from tasklattice.session import Scratch
 
@@ -314,6 +314,21 @@ def test_leaks(spark, sent):
     assert got == brute_leaks(docs, items, 10) and got
 
 
+def test_report_finds_short_pieces_in_another_order(spark, tmp_path):
+    item = [f"w{k}" for k in range(36)]
+    pieces = [item[k : k + 6] for k in range(0, 36, 6)]
+    whole, half, less = pieces[::-1], pieces[2::-1], pieces[1::-1]
+    docs = [(k, " x y ".join(" ".join(p) for p in own)) for k, own in enumerate((whole, half, less))]
+    docs.append((3, "z a b c d e f z " * 6))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(item)), (8, "a b c d e f " * 6)], "item_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    i.write.parquet(f"{tmp_path}/heldout_items.parquet")
+    want = {(0, 7): (36, 6, 1.0), (1, 7): (18, 6, 0.5), (3, 8): (36, 6, 1.0)}
+    for found in (queries.p7_report(spark, str(tmp_path)), leaks.leaks(d, i, 5, 0.5, seeds_sent=3)):
+        assert {(r["doc_id"], r["item_id"]): (r["covered"], r["longest"], r["coverage"]) for r in found.collect()} == want
+
+
 def test_tiles_catch_reordered_passages():
     test = np.arange(40, dtype=np.uint64)
     text = np.concatenate([[99], test[20:40], [98, 97], test[:20]]).astype(np.uint64)
