@@ -449,6 +449,27 @@ def expected_vs_observed(spark, d):
     )
 
 
+@query(
+    f"WITH {_ONCE} SELECT task_id, cardinality(oracle.expected_files) AS n_expected, len(list_filter(map_keys(oracle.expected_files), lambda k: setup_files[k] IS NULL)) AS n_missing,"
+    " len(list_filter(map_keys(oracle.expected_files), lambda k: setup_files[k] IS NOT NULL AND sha256(setup_files[k]) IS DISTINCT FROM oracle.expected_files[k])) AS n_mismatched,"
+    " coalesce(len(list_filter(oracle.absent_files, lambda f: setup_files[f] IS NOT NULL)), 0) AS n_present FROM tasks_once WHERE cardinality(oracle.expected_files) > 0 AND setup_files IS NOT NULL"
+)
+def expected_vs_hashes(spark, d):
+    def mismatched(path, digest):
+        found = F.element_at(F.col("setup_files"), path)
+        return found.isNotNull() & ~F.sha2(found, 256).eqNullSafe(digest)
+
+    absent = F.coalesce("oracle.absent_files", F.array().cast("array<string>"))
+    rows = once(spark, d).where((F.size("oracle.expected_files") > 0) & F.col("setup_files").isNotNull())
+    return rows.select(
+        "task_id",
+        F.size("oracle.expected_files").alias("n_expected"),
+        F.size(F.filter(F.map_keys("oracle.expected_files"), lambda k: F.element_at(F.col("setup_files"), k).isNull())).alias("n_missing"),
+        F.size(F.map_filter("oracle.expected_files", mismatched)).alias("n_mismatched"),
+        F.size(F.filter(absent, lambda f: F.element_at(F.col("setup_files"), f).isNotNull())).alias("n_present"),
+    )
+
+
 @query(f"WITH {_CURRENT}, {_USABLE}, v AS (SELECT task_id, count(*) AS n_commands, bool_and(passed) AS all_, arg_min(failure_category, candidate_id) FILTER (NOT passed) AS first_ FROM usable GROUP BY 1) SELECT task_id, n_commands, n_commands >= 2 AND all_ AS valid, CASE WHEN n_commands < 2 THEN 'needs_two_commands' ELSE first_ END AS reason FROM v")
 def validate_task(spark, d):
     return verify.valid_tasks(usable(spark, d), "task_id", "candidate_id")

@@ -1,5 +1,6 @@
 """Every query of the core against its SQL on the smallest tables, and the shape of plans."""
 
+import hashlib
 import math
 import os
 
@@ -55,3 +56,13 @@ def test_no_python_in_hot_paths(spark, name):
 def test_stream_admission_keeps_each_request_once(spark):
     rows = catalog.QUERIES["stream_admission"](spark, DATA).collect()
     assert len({r["task_id"] for r in rows}) == len(rows) and any(r["kept"] for r in rows)
+
+
+def test_expected_files_are_held_against_their_hashes(spark, tmp_path):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = {"same": sha("x"), "other": sha("y"), "unknown": None, "gone": sha("z")}
+    rows = [("t", 1, 1, (expected, ["left", "away"]), {"same": "x", "other": "not y", "unknown": "u", "left": ""})]
+    kinds = "task_id string, ingested_at int, created_at int, oracle struct<expected_files map<string, string>, absent_files array<string>>, setup_files map<string, string>"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/tasks.parquet")
+    got = [r.asDict() for r in catalog.QUERIES["expected_vs_hashes"](spark, str(tmp_path)).collect()]
+    assert got == [{"task_id": "t", "n_expected": 4, "n_missing": 1, "n_mismatched": 2, "n_present": 1}]
