@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_command, static_risk
@@ -36,3 +36,27 @@ def task_screen(files: Column, request: Column, commands: Column, syntax_ok: Col
 def risk_class(given: Column) -> Column:
     """A known risk class, else read_only."""
     return F.when(given.isin("read_only", "local_write"), given).otherwise("read_only")
+
+
+def containing(texts: DataFrame, ids: list[str], text: str, items: DataFrame, item: str, key: str) -> DataFrame:
+    """(ids, item) of the texts in which an item's whole key stands, at any place, both in the form of ``text.request_key``.
+
+    The words of a key but its first and last stand as whole words in every
+    text that contains it, so the one that fewest items have is its seed, the
+    longest of equals: texts meet keys at seeds, then ``contains`` decides. Keys
+    of one or two words have no seed and are sought in every text. The items
+    are sent to the tasks. Empty keys are in no text; each pair comes once.
+    """
+    items = items.select(item, key).where(F.col(key) != "").distinct()
+    keys = items.select(key).distinct()
+    words = F.split(key, " ")
+    inner = F.array_distinct(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
+    held = keys.select(key, F.explode(inner).alias("_word"))
+    shared = held.groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = F.min(F.struct("_n", (-F.length("_word")).alias("_length"), "_word"))["_word"].alias("_word")
+    seeds = held.join(shared, "_word").groupBy(key).agg(rarest)
+    met = texts.select(*ids, F.explode(F.array_distinct(F.split(text, " "))).alias("_word")).join(F.broadcast(seeds), "_word").select(*ids, key).distinct()
+    found = texts.join(met, ids).where(F.contains(text, key)).select(*ids, key)
+    short = keys.join(seeds, key, "left_anti")
+    found = found.union(texts.join(F.broadcast(short), F.contains(text, key)).select(*ids, key))
+    return found.join(F.broadcast(items), key).select(*ids, item).distinct()

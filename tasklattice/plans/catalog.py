@@ -525,6 +525,18 @@ def benchmark_contamination(spark, d):
     return once(spark, d).select("task_id", tx.request_key(F.col("user_request")).alias("k")).join(items, "k").select("task_id", "item_id")
 
 
+@query(
+    f"WITH {_ONCE}, items AS (SELECT DISTINCT item_id, {_KEY.format(c='text')} AS item_key FROM heldout_items WHERE item_id IS NOT NULL AND {_KEY.format(c='text')} <> ''),"
+    f" texts AS (SELECT 'document' AS found_in, CAST(doc_id AS VARCHAR) AS id, {_KEY.format(c='text')} AS k FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'task', task_id, {_KEY.format(c='user_request')} FROM tasks_once)"
+    " SELECT DISTINCT found_in, id, item_id FROM texts JOIN items ON contains(k, item_key)"
+)
+def benchmark_inside(spark, d):
+    items = table(spark, d, "heldout_items").where("item_id is not null").select("item_id", tx.request_key(F.col("text")).alias("item_key"))
+    docs = table(spark, d, "documents").where("doc_id is not null").select(F.lit("document").alias("found_in"), F.col("doc_id").cast("string").alias("id"), tx.request_key(F.col("text")).alias("k"))
+    requests = once(spark, d).select(F.lit("task"), "task_id", tx.request_key(F.col("user_request")))
+    return screen.containing(docs.union(requests), ["found_in", "id"], "k", items, "item_id", "item_key")
+
+
 # families as queries
 
 _DOCLINES = "doclines AS (SELECT doc_id, generate_subscripts(l, 1) AS lineno, unnest(l) AS line FROM (SELECT doc_id, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents WHERE length(text) > 0))"

@@ -66,3 +66,19 @@ def test_expected_files_are_held_against_their_hashes(spark, tmp_path):
     spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/tasks.parquet")
     got = [r.asDict() for r in catalog.QUERIES["expected_vs_hashes"](spark, str(tmp_path)).collect()]
     assert got == [{"task_id": "t", "n_expected": 4, "n_missing": 1, "n_mismatched": 2, "n_present": 1}]
+
+
+def test_benchmark_inside_reads_documents_and_requests(spark, duck, tmp_path):
+    item = "Sort the log, by its first column."
+    docs = [(1, f"Before.  {item.upper()} After"), (1, "other"), (2, "Sort the log by its last column"), (3, None), (None, item), (4, "xsort the log by its first columns"), (5, "Sort the log by\nits first column"), (6, "a grep -c here"), (7, "x y")]
+    tasks = [("t", 1, 1, f"Please: {item}"), ("u", 1, 1, None), ("v", 1, 1, "grep c")]
+    items = [(70, item), (71, item), (72, "grep c"), (73, "..."), (74, None), (None, "other"), (75, "x"), (76, "egrep   c and more")]
+    kinds = {"documents": "doc_id long, text string", "tasks": "task_id string, ingested_at int, created_at int, user_request string", "heldout_items": "item_id long, text string"}
+    c = duckdb.connect()
+    for (name, kind), rows in zip(kinds.items(), (docs, tasks, items), strict=True):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = [tuple(r) for r in catalog.QUERIES["benchmark_inside"](spark, str(tmp_path)).collect()]
+    assert {r for r in got if r[2] < 72} == {("document", "1", 70), ("document", "1", 71), ("document", "4", 70), ("document", "4", 71), ("task", "t", 70), ("task", "t", 71)}
+    assert {r for r in got if r[2] == 72} == {("document", "6", 72), ("task", "v", 72)}
+    assert sorted(got) == sorted(c.execute(catalog.SQL["benchmark_inside"]).fetchall())
