@@ -18,6 +18,11 @@ def first_n_per(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def shape_cap(n: int) -> int:
+    """How many of ``n`` tasks may share a shape: a fiftieth, five at least."""
+    return max(5, n // 50)
+
+
 def admission(df: DataFrame, id_col: str, request: str, shape: str, order: list, cap: int, screened: Column | None = None) -> DataFrame:
     """The rows with a ``reason``: the screen's, duplicate_task_id, duplicate_request, signature_capped or ok.
 

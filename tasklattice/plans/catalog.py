@@ -234,9 +234,9 @@ _ADMITTED = (
 )
 
 
-def _admitted(spark, d):
+def _admitted(spark, d, cap=20):
     rows = _screened(spark, d)
-    return admit.admission(rows, "task_id", "request_key", "signature", ["ingested_at", "task_id"], 20, F.col("screen"))
+    return admit.admission(rows, "task_id", "request_key", "signature", ["ingested_at", "task_id"], cap, F.col("screen"))
 
 
 @query(f"WITH {_ADMITTED} SELECT task_id, signature, reason FROM admitted")
@@ -258,6 +258,16 @@ def corpus_summary(spark, d):
     )
 
 
+# the queries above and below hold a fixed cap; here it grows with the number of tasks
+_GROWN = _ADMITTED.replace("m > 20", "m > greatest(5, (SELECT count(*) FROM tasks_once) // 50)")
+
+
+@query(f"WITH {_GROWN} SELECT task_id, signature, reason FROM admitted")
+def admission_grown(spark, d):
+    n = table(spark, d, "tasks").where("task_id is not null").select("task_id").distinct().count()
+    return _admitted(spark, d, admit.shape_cap(n)).select("task_id", "signature", "reason")
+
+
 @query()
 def admit_exact(spark, d):
     rows = _signed(spark, d).withColumn("request_key", tx.request_key(F.col("user_request")))

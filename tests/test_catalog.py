@@ -82,3 +82,13 @@ def test_benchmark_inside_reads_documents_and_requests(spark, duck, tmp_path):
     assert {r for r in got if r[2] < 72} == {("document", "1", 70), ("document", "1", 71), ("document", "4", 70), ("document", "4", 71), ("task", "t", 70), ("task", "t", 71)}
     assert {r for r in got if r[2] == 72} == {("document", "6", 72), ("task", "v", 72)}
     assert sorted(got) == sorted(c.execute(catalog.SQL["benchmark_inside"]).fetchall())
+
+
+@pytest.mark.parametrize(("n", "cap"), [(8, 5), (299, 5), (300, 6), (400, 8)])
+def test_cap_grows_with_the_tasks(spark, tmp_path, n, cap):
+    words = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = [(f"{k:04d}", 1, 1, f"list the files of {words(k)}", ["ls a", "ls b"], {"a": "x"}) for k in range(n)] + [("0000", 2, 1, "again", ["ls"], {"a": "x"})]
+    kinds = "task_id string, ingested_at int, created_at int, user_request string, accepted_commands array<string>, setup_files map<string, string>"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/tasks.parquet")
+    got = catalog.QUERIES["admission_grown"](spark, str(tmp_path)).groupBy("reason").count().collect()
+    assert {r["reason"]: r["count"] for r in got} == {"ok": cap, "signature_capped": n - cap}
