@@ -651,6 +651,12 @@ def reformat_text(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", squeezed.alias("squeezed"), F.translate(F.left("text", F.lit(80)), "abc", "xyz").alias("mapped"))
 
 
+@query("SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g')), '#.*$', '') AS squeezed, translate(text, 'abc', 'xyz') AS mapped FROM documents WHERE text IS NOT NULL")
+def reformat_whole(spark, d):
+    squeezed = F.regexp_replace(F.trim(F.regexp_replace("text", r"[ \t\n]+", " ")), "#.*$", "")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", squeezed.alias("squeezed"), F.translate("text", "abc", "xyz").alias("mapped"))
+
+
 @query(f"WITH {_ONCE}, a AS (SELECT DISTINCT c FROM (SELECT unnest(accepted_commands) AS c FROM tasks_once) WHERE c IS NOT NULL), b AS (SELECT DISTINCT command AS c FROM candidates WHERE command IS NOT NULL) SELECT CASE WHEN a.c IS NULL THEN 'second' WHEN b.c IS NULL THEN 'first' ELSE 'both' END AS side, count(*) AS n FROM a FULL JOIN b ON a.c = b.c GROUP BY 1")
 def compare_sets(spark, d):
     a = once(spark, d).select(F.explode("accepted_commands").alias("c")).where("c is not null").distinct().withColumn("in_a", F.lit(1))

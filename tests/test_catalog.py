@@ -92,3 +92,10 @@ def test_cap_grows_with_the_tasks(spark, tmp_path, n, cap):
     spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/tasks.parquet")
     got = catalog.QUERIES["admission_grown"](spark, str(tmp_path)).groupBy("reason").count().collect()
     assert {r["reason"]: r["count"] for r in got} == {"ok": cap, "signature_capped": n - cap}
+
+
+def test_reformat_whole_maps_the_end_of_a_text(spark, tmp_path):
+    text = "a" * 80 + " abcd\n" * 50
+    spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["mapped"] for r in catalog.QUERIES["reformat_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: text.translate(str.maketrans("abc", "xyz")), 2: ""}
