@@ -46,6 +46,7 @@ def admission(df: DataFrame, id_col: str, request: str, shape: str, order: list,
 def admit_exact(df: DataFrame, id_col: str, request: str, shape: str, seq: str, cap: int) -> DataFrame:
     """(seq, id, reason) by the sequential rule: a capped row registers neither its id nor its request.
 
+    A null or empty request key joins nothing, as in ``admission``.
     The rule depends on the whole order, so rows are folded in order in one
     task that holds the keys seen; it is meant for one writer's admission log,
     as the streaming sink feeds it, not for a corpus (``admission`` is).
@@ -58,18 +59,19 @@ def admit_exact(df: DataFrame, id_col: str, request: str, shape: str, seq: str,
             for i, r, s in zip(pdf[id_col], pdf[request], pdf[shape], strict=True):
                 if i in ids:
                     out.append("duplicate_task_id")
-                elif r in requests:
+                elif r is not None and r in requests:
                     out.append("duplicate_request")
                 elif shapes.get(s, 0) >= cap:
                     out.append("signature_capped")
                 else:
                     ids.add(i)
-                    requests.add(r)
+                    if r is not None:
+                        requests.add(r)
                     shapes[s] = shapes.get(s, 0) + 1
                     out.append("ok")
             yield pdf[[seq, id_col]].assign(reason=out)
 
-    slim = df.select(seq, id_col, request, shape)
+    slim = df.select(seq, id_col, F.when(F.col(request) != "", F.col(request)).alias(request), shape)
     kinds = dict(slim.dtypes)
     return slim.coalesce(1).sortWithinPartitions(seq).mapInPandas(run, f"`{seq}` {kinds[seq]}, `{id_col}` {kinds[id_col]}, reason string")
 

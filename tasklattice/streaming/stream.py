@@ -52,7 +52,8 @@ def admitted(spark: SparkSession, folder: str, columns: str, id_col: str, reques
 
     Each micro-batch is deduplicated by id and request within itself and
     against the table of what was seen (an anti join), then capped per shape by
-    what the table already holds of it. The table is the state: a batch appends
+    what the table already holds of it. A null or empty request key joins
+    nothing, as in ``admission``. The table is the state: a batch appends
     under its number, and a batch that is run again overwrites its own part,
     so a restart neither loses nor repeats rows.
     """
@@ -66,9 +67,11 @@ def admitted(spark: SparkSession, folder: str, columns: str, id_col: str, reques
         rows = first_per(batch.where(F.col(id_col).isNotNull()), id_col, order)
         if earlier is not None:
             rows = rows.join(earlier.select(id_col), id_col, "left_anti")
-        rows = first_per(rows, request, order)
+        keyed = F.coalesce(F.col(request), F.lit("")) != ""
+        asked = first_per(rows.where(keyed), request, order)
         if earlier is not None:
-            rows = rows.join(earlier.select(request), request, "left_anti")
+            asked = asked.join(earlier.select(request), request, "left_anti")
+        rows = rows.where(~keyed).unionByName(asked)
         if earlier is not None:
             held = earlier.where("kept").groupBy(shape).agg(F.count("*").alias("_held"))
             ranked = first_n_per(rows, shape, order, cap).join(held, shape, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tasklattice.operators import admit, folds, generate, labels, metrics, screen, verify
 from tasklattice.sources import records
+from tasklattice.streaming import stream
 
 
 def test_screen_first_failure_wins(spark):
@@ -212,3 +213,21 @@ def test_snapshot_scan(spark, tmp_path):
 def test_published_totals():
     kept = {"ok": 10739, "disagree": 3657, "nonzero": 885, "no_effect": 498, "unparseable": 158, "syntax": 106, "filesystem": 90, "timeout": 17, "nondeterministic": 16, "not_distinct": 5, "files": 4, "two": 4}
     assert sum(kept.values()) == 16179 and kept["ok"] == 9000 + 1678 + 61 and round(9000 / 16179, 3) == 0.556
+
+
+def test_forms_of_admission_agree_on_empty_requests(spark, tmp_path):
+    kinds = "id string, request string, shape string, seq string"
+    first = [("a", None, "s", "1"), ("b", "", "s", "2"), ("c", None, "s", "3"), ("d", "", "t", "4"), ("e", "r", "t", "5")]
+    second = [("f", None, "t", "6"), ("g", "", "t", "7"), ("h", "r", "t", "8"), ("a", "", "t", "9")]
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        part = next((tmp_path / str(k)).glob("part-*.parquet"))
+        os.utime(part, (1000 + k, 1000 + k))
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+    df = spark.createDataFrame(first + second, kinds)
+    want = {"1": "ok", "2": "ok", "3": "ok", "4": "ok", "5": "ok", "6": "ok", "7": "ok", "8": "duplicate_request", "9": "duplicate_task_id"}
+    assert {r["seq"]: r["reason"] for r in admit.admission(df, "id", "request", "shape", ["seq"], 9).collect()} == want
+    assert {r["seq"]: r["reason"] for r in admit.admit_exact(df, "id", "request", "shape", "seq", 9).collect()} == want
+    out = stream.admitted(spark, f"{tmp_path}/in", kinds, "id", "request", "shape", ["seq"], 9).collect()
+    assert sorted((r["seq"], r["kept"]) for r in out) == [(k, True) for k in "1234567"]
