@@ -19,7 +19,7 @@ RUN_WORDS = 160
 MARGIN = 0.015
 #: Words after which an exact repetition counts, and the share of a text's words that makes it one repeated sentence.
 REPEAT, REPEATED = 8, 0.6
-#: Common words per language, at most, that enter the profiles of word order.
+#: Common words per language, the most frequent in the collection, that enter the profiles of word order; shares and languages use all.
 MOST_COMMON = 200
 
 CLASSES = ("function", "other", "digit", "space", "stop", "symbol", "foreign")
@@ -77,8 +77,9 @@ FEWEST_PAIRS = 3
 class Words:
     """The common words of each language, and a unit's characters by class."""
 
-    def __init__(self, common: dict[str, list[str]]):
+    def __init__(self, common: dict[str, list[str]], paired: dict[str, set[str]]):
         self.index = {lang: {w: k for k, w in enumerate(words)} for lang, words in common.items()}
+        self.paired = {lang: {w: k for w, k in own.items() if w in paired.get(lang, ())} for lang, own in self.index.items()}
 
     def language(self, words: list[str]) -> str:
         if not self.index:
@@ -96,8 +97,8 @@ class Words:
         return function
 
     def pairs(self, words: list[str], lang: str) -> Counter:
-        """Neighbouring common words."""
-        known = self.index.get(lang, {})
+        """Neighbouring common words, of those that are paired."""
+        known = self.paired.get(lang, {})
         code = [known.get(w, -1) for w in words]
         return Counter((lang, a, b) for a, b in zip(code, code[1:], strict=False) if a >= 0 and b >= 0)
 
@@ -175,9 +176,36 @@ def _nearest(far: np.ndarray, after_prose: bool = False) -> int:
     return k
 
 
-def _count_pairs(common: dict[str, list[str]]):
+def _count_words(common: dict[str, list[str]]):
+    """How often each common word stands in the texts."""
+    known = {lang: set(words) for lang, words in common.items()}
+
+    def run(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total.update((lang, w) for w in _WORD.findall((text or "").lower()) for lang in known if w in known[lang])
+        if total:
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([total[k] for k in keys])], names=["lang", "word", "n"])
+
+    return run
+
+
+def paired_words(documents: DataFrame, common: dict[str, list[str]], most: int) -> dict[str, set[str]]:
+    """Per language the ``most`` common words that stand most often in the documents, of equals the first by name; all if there are no more."""
+    long = {lang: words for lang, words in common.items() if len(words) > most}
+    out = {lang: set(words) for lang, words in common.items() if lang not in long}
+    if long:
+        counts = documents.select("text").mapInArrow(_count_words(long), "lang string, word string, n long")
+        n = {(r["lang"], r["word"]): r["n"] for r in counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()}
+        out |= {lang: set(sorted(words, key=lambda w: (-n.get((lang, w), 0), w))[:most]) for lang, words in long.items()}
+    return out
+
+
+def _count_pairs(common: dict[str, list[str]], paired: dict[str, set[str]]):
     """Pairs of neighbouring words in units whose characters look like prose."""
-    words = Words(common)
+    words = Words(common, paired)
 
     def run(batches):
         total: Counter = Counter()
@@ -197,17 +225,17 @@ def _count_pairs(common: dict[str, list[str]]):
     return run
 
 
-def order_profiles(documents: DataFrame, common: dict[str, list[str]]) -> tuple[dict, dict, dict]:
+def order_profiles(documents: DataFrame, common: dict[str, list[str]], paired: dict[str, set[str]]) -> tuple[dict, dict, dict]:
     """(bins, prose, salad): each pair of common words' bin, and the shares of the bins per language as found and as chance gives them.
 
     A pair's bin says how much oftener than by chance its words stand together
     in the collection.
 
     Counted over the units of every document that look like prose by their
-    characters. The counts, at most the square of the common words per
+    characters. The counts, at most the square of the paired words per
     language, reach the driver.
     """
-    counts = documents.select("text").mapInArrow(_count_pairs(common), "lang string, a long, b long, n long")
+    counts = documents.select("text").mapInArrow(_count_pairs(common, paired), "lang string, a long, b long, n long")
     rows = counts.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).collect()
     bins: dict = {}
     prose: dict = {}
@@ -233,8 +261,8 @@ def order_profiles(documents: DataFrame, common: dict[str, list[str]]) -> tuple[
     return bins, prose, salad
 
 
-def _judge(common: dict[str, list[str]], bins: dict, prose: dict, salad: dict):
-    words = Words(common)
+def _judge(common: dict[str, list[str]], paired: dict[str, set[str]], bins: dict, prose: dict, salad: dict):
+    words = Words(common, paired)
     plain = {lang: set(ws) for lang, ws in common.items()}
     ascii_word = re.compile(r"[a-z0-9]+")
 
@@ -348,14 +376,15 @@ def quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     Null and blank texts get the profile ``blank``, counts of 0 and null
     shares. Rows are kept as they come, repeated ids included.
     """
-    # a table of frequent words is small by its nature; no more than MOST_COMMON of a language are used
+    # a table of frequent words is small by its nature
     ranked = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct()
-    held = ranked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set("word")), 1, MOST_COMMON).alias("words")).collect()
+    held = ranked.groupBy("lang").agg(F.array_sort(F.collect_set("word")).alias("words")).collect()
     common = {r["lang"]: list(r["words"]) for r in held}
     rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    bins, prose, salad = order_profiles(rows, common)
+    paired = paired_words(rows, common, MOST_COMMON)
+    bins, prose, salad = order_profiles(rows, common, paired)
     out = "words long, mean_word_length double, visible long, symbol_share double, lines long, ended_share double, common_share double, language string, prose_share double, profile string"
-    return rows.mapInArrow(_judge(common, bins, prose, salad), f"doc_id long, {out}")
+    return rows.mapInArrow(_judge(common, paired, bins, prose, salad), f"doc_id long, {out}")
 
 
 def counts(documents: DataFrame) -> DataFrame:

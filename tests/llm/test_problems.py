@@ -376,3 +376,13 @@ def test_divergence_bounds():
     p, q = np.array([1.0, 0.0]), np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
     d = quality.divergence(p, q)
     assert d[0] == 0 and d[1] == pytest.approx(math.log(2)) and 0 < d[2] < d[1]
+
+
+def test_common_words_late_in_a_long_list_count(spark):
+    short = [("en", w) for w in "the and that was of in had it any them time week".split()] + [("de", w) for w in "der die das und".split()]
+    long = short + [("en", f"aa{a}{b}") for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    docs = spark.createDataFrame([(k, PROSE) for k in range(3)] + [(3, "der die das"), (4, None)], "doc_id long, text string")
+    by = lambda rows: sorted(map(tuple, quality.quality(docs, spark.createDataFrame(rows, "lang string, word string")).collect()), key=str)
+    assert by(long) == by(short)
+    kept = quality.paired_words(docs, {"en": sorted(w for lang, w in long if lang == "en")}, 12)
+    assert kept["en"] == {w for lang, w in short if lang == "en"}
