@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,204 +9,113 @@ from pyspark.sql import functions as F
 
 from tasklattice.session import Scratch
 
+from . import boxes as bx
 from . import words as ws
 
-#: A word in more rows than this is frequent: alone it selects too many rows to be a key.
-RARE = 300
-#: Most frequent words sent to the tasks (16 bytes each).
-FREQUENT_SENT = 1 << 16
-#: Sets up to this size are keyed by pairs of frequent words, larger ones by single words.
-PAIRED_SIZE = 300
-#: Numbers of rare words from which a new class of sets begins.
-CLASSES = (5,)
-#: Boxes of the ring.
-BOXES = 16
-
-
-def _ceil_div(a, b):
-    return -((-a) // b)
-
-
-def _cells(sets: DataFrame, size_cols: tuple[str, str]) -> np.ndarray:
-    """Rows (class, c_low, c_high, r_low): which sizes occur, in buckets of 3 % and classes by number of rare words.
-
-    A fixed number of buckets below any set size, so the driver gets at most a
-    few hundred rows.
-    """
-    c, r = size_cols
-    bucket = F.floor(F.log(F.col(c) + 1.0) / float(np.log(1.03))).cast("int")
-    rows = sets.groupBy(sum((F.col(r) >= k).cast("int") for k in CLASSES).alias("many"), bucket.alias("b")).agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.min(r).alias("r")).collect()
-    return np.array([(int(x["many"]), x["lo"], x["hi"], x["r"]) for x in rows], np.int64).reshape(-1, 4)
-
+#: Boxes of the ring in which pairs with a rare word in common are compared: the words' hash range in equal parts.
+RING = 16
+
+
+def _check(order: bx.Order, budget: bx.Budget, tally: bool = False):
+    """The pairs of a batch (a, b, boxes, starts, words of a, words of b) that keep to the budget: chains first, then the whole difference."""
+
+    def rows(batch):
+        (sa, ha), (sb, hb) = ws.flat(batch.column(4)), ws.flat(batch.column(5))
+        na, nb = np.diff(sa), np.diff(sb)
+        pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
+        h = np.concatenate([ha, hb])
+        place, mark = order.look(h)
+        m = batch.column(2).to_numpy().astype(np.int64)
+        rare = np.bincount(pair, place < 0, len(na)).astype(np.int64)
+        ringed = m > 0
+        left = budget.whole(na + nb) - np.where(ringed, budget.unit * rare, 0)
+        # a row per pair and start; pairs that met at a rare word may start anywhere
+        starts = batch.column(3)
+        size = np.diff(starts.offsets.to_numpy())
+        own = np.repeat(np.arange(len(na)), np.where(ringed, size, 1))
+        first = np.flatnonzero(np.repeat(ringed, size))
+        begin = np.zeros(len(own), np.int64)
+        begin[ringed[own]] = starts.flatten().to_numpy()[first]
+        rings = np.where(ringed, m, RING)
+        box = np.where(ringed[pair], np.minimum((mark * rings[pair]).astype(np.int64), rings[pair] - 1), (h >> np.uint64(60)).astype(np.int64))
+        seen = np.flatnonzero(~ringed[pair] | (place >= 0))
+        seen = seen[np.argsort(pair[seen], kind="stable")]
+        edge = np.searchsorted(pair[seen], np.arange(len(na) + 1))
+        of, k = bx._ranges(edge[own], edge[own + 1])
+        k = seen[k]
+        held, compared = bx.chains(of, box[k], h[k], rings[own], begin, ~ringed[own], left[own], budget.unit)
+        passed = np.zeros(len(na), bool)
+        passed[own[held]] = True
+        if tally:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(na), len(own), compared, int(passed.sum()))], names=["pairs", "starts", "compared", "passed"])
+            return
+        some = passed[pair]
+        p, hh = pair[some], h[some]
+        by = np.lexsort((hh, p))
+        p, hh = p[by], hh[by]
+        inter = np.bincount(p[1:][(p[1:] == p[:-1]) & (hh[1:] == hh[:-1])], minlength=len(na))
+        good = np.flatnonzero(passed & ((na + nb - 2 * inter) * budget.unit <= budget.whole(na + nb)))
+        if len(good):
+            where = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(inter[good] / (na + nb - inter)[good])], names=["a", "b", "overlap"])
 
-def _spare(c: np.ndarray, r: np.ndarray, cells: np.ndarray, many: int, p: int, q: int) -> np.ndarray:
-    """How many of its c frequent words a row can lack in a partner of the class with which it shares no rare word; -1: no such partner."""
-    out = np.full(len(c), -1, np.int64)
-    for _, lo, hi, rare in cells[cells[:, 0] == many]:
-        shared = _ceil_div(p * (c + r + lo + rare), p + q)
-        out = np.maximum(out, np.where(shared <= np.minimum(c, hi), c - np.maximum(shared, 0), -1))
-    return out
-
-
-def _sketch(splits, hashes, common):
-    """Two longs: a bit for each of the less frequent words in the first, of the common words in the second."""
-    row = np.repeat(np.arange(len(splits) - 1), np.diff(splits))
-    bit = np.uint64(1) << (hashes >> np.uint64(9) & np.uint64(63))
-    out = []
-    for part in (~common, common):
-        s = np.zeros(len(splits) - 1, np.uint64)
-        np.bitwise_or.at(s, row[part], bit[part])
-        out.append(s.view(np.int64))
-    return out
-
-
-def _keys(known, counts, cells, common_from, p, q):
     def run(batches):
         for whole in batches:
             for begin in range(0, whole.num_rows, 2048):
-                batch = whole.slice(begin, 2048)
-                splits, hashes = ws.flat(batch.column(1))
-                n = np.diff(splits)
-                hashes, rank = ws.rare_first(splits, hashes, known, counts)
-                s0, s1 = _sketch(splits, hashes, rank >= common_from)
-                row = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(row)) - splits[row]
-                r = np.bincount(row, rank == 0, len(n)).astype(np.int64)
-                c = n - r
-                lost = n - _ceil_div(p * n, q)
-                picked = (rank == 0) & (place <= lost[row])
-                keys, owner = [hashes[picked]], [row[picked]]
-                mine = np.searchsorted(CLASSES, r, "right")
-                for many in range(len(CLASSES) + 1):
-                    spare = _spare(c, r, cells, many, p, q)
-                    # the pair of classes belongs to the key: (own, partner) in order
-                    salt = ws.mix((np.minimum(mine, many) * (len(CLASSES) + 1) + np.maximum(mine, many) + 11).astype(np.uint64))
-                    for k in np.unique(spare[spare >= 0]):
-                        rows = np.flatnonzero(spare == k)
-                        single = rows[n[rows] * q > PAIRED_SIZE * p]
-                        for i, width in ((single, 1), (rows[n[rows] <= PAIRED_SIZE], 2)):
-                            # a set with fewer frequent words than the key needs shares them all
-                            for size in np.unique(np.minimum(c[i], k + width)):
-                                own = i[np.minimum(c[i], k + width) == size]
-                                if not len(own) or not size:
-                                    continue
-                                take = np.array(list(combinations(range(size), min(width, size))), np.int64)
-                                first = splits[own] + r[own]
-                                cells_of = hashes[first[:, None, None] + take[None]]
-                                key = ws.mix(cells_of[..., 0] ^ salt[own][:, None] + np.uint64(width))
-                                for j in range(1, take.shape[1]):
-                                    key = ws.mix(key * np.uint64(31) + cells_of[..., j])
-                                keys.append(key.ravel())
-                                owner.append(np.repeat(own, take.shape[0]))
-                key, own = np.concatenate(keys), np.concatenate(owner)
-                if len(key):
-                    ids = batch.column(0).to_numpy()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(n[own].astype(np.int32)), pa.array(s0[own]), pa.array(s1[own])],
-                        names=["key", "id", "n", "s0", "s1"],
-                    )
+                yield from rows(whole.slice(begin, 2048))
 
     return run
 
 
-def _boxes(hashes: np.ndarray, pair: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(pair * BOXES + (hashes >> np.uint64(60)).astype(np.int64), minlength=n * BOXES).reshape(n, BOXES)
-
-
-def ring(least: np.ndarray, budget: np.ndarray) -> np.ndarray:
-    """Which rows of ``least`` (lower bounds of the boxes' differences) have a box from which every chain stays within its share of the budget.
-
-    The ring is turned once per chain length; a chain of l of the m boxes may
-    differ in l/m of the budget. A row whose differences sum to the budget or
-    less always passes.
-    """
-    chain, good = np.zeros_like(least), np.ones(least.shape, bool)
-    m = least.shape[1]
-    for length in range(1, m + 1):
-        chain = chain + np.roll(least, 1 - length, 1)
-        good &= chain * m <= length * budget[:, None]
-    return good.any(1)
-
-
-def _check(p: int, q: int):
-    def run(batches):
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 4096):
-                batch = whole.slice(begin, 4096)
-                (sa, ha), (sb, hb) = ws.flat(batch.column(2)), ws.flat(batch.column(3))
-                na, nb = np.diff(sa), np.diff(sb)
-                ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
-                least = np.abs(_boxes(ha, ra, len(na)) - _boxes(hb, rb, len(nb)))
-                passed = ring(least, (q - p) * (na + nb) / (p + q) + 1e-9)
-                ka, kb = passed[ra], passed[rb]
-                pair = np.concatenate([ra[ka], rb[kb]])
-                h = np.concatenate([ha[ka], hb[kb]])
-                order = np.lexsort((h, pair))
-                pair, h = pair[order], h[order]
-                same = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
-                inter = np.bincount(pair[1:][same], minlength=len(na))
-                good = np.flatnonzero(passed & ((na + nb - 2 * inter) * (p + q) <= (q - p) * (na + nb)))
-                if len(good):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(inter[good] / (na + nb - inter)[good])],
-                        names=["a", "b", "overlap"],
-                    )
-
-    return run
+def candidates(sets: DataFrame, threshold: float, scratch: Scratch, least: int = bx.LEAST) -> tuple[DataFrame, bx.Order, bx.Budget]:
+    """(a, b, boxes, starts, wa, wb) of the pairs that meet at a box and stay in budget on the chains of their sketches."""
+    budget = bx.Budget.of(threshold)
+    order = bx.word_order(sets, "words", least=least)
+    kinds = bx.cells(sets, "words", order, budget)
+    keys = lambda left: bx.key_rows(sets, "id", "words", order, kinds, budget, left).drop("at").hint("merge")
+    met = keys(True).alias("a").join(keys(False).alias("b"), bx.within("a", "b", budget) & (~F.col("a.alike") | (F.col("a.id") < F.col("b.id"))))
+    a, b = F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")
+    # a pair that shares a rare word needs no box of its frequent words
+    pairs = met.groupBy(a, b).agg(F.min("a.boxes").alias("boxes"), F.collect_set("a.start").alias("starts"))
+    pairs = scratch.write(pairs, "pairs")
+    held = sets.select("id", "words")
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    return both.select("a", "b", "boxes", "starts", "wa", "wb"), order, budget
 
 
-def set_join(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def set_join(sets: DataFrame, threshold: float, scratch: Scratch, least: int = bx.LEAST) -> DataFrame:
     """(a, b, overlap), a < b, of all pairs of rows of ``sets`` (id long unique, words array<long> sorted) with Jaccard overlap >= threshold.
 
-    Words are boxes' contents in a ring. With p/q the threshold, two sets of n
-    and m words may differ in (q-p)/(q+p) * (n+m) words, the Hamming budget.
-
-    1. Boxes of rare words. Two sets that share a rare word (in at most RARE
-       rows) meet at it; a set needs to show only the first n - ceil(p/q n) + 1.
-    2. If they share none, all their rare words are differences already, and
-       what is left of the budget is small: of the frequent words, ordered by
-       frequency, a set can lack only ``spare``, so two of its first spare + 2
-       must be shared. The keys are these pairs. ``spare`` is taken over the
-       set sizes that occur, by class of the partner's rare words.
-    3. A key carries a sketch, one bit for each word in 128, half of them for
-       the most frequent words. Bits that differ are a lower bound of the
-       whole ring's difference and must stay within the budget.
-    4. The words of both sets are cut into 16 consecutive boxes of the hash
-       range. The boxes' differences in size are lower bounds; from some box
-       on, every chain of consecutive boxes must stay within its proportional
-       share of the budget.
-    5. What passes gets the full Hamming check on the words.
-
-    No step drops a pair that is within the budget. Empty sets have no partner.
-    Adaptive execution splits hot keys.
+    With p/q the threshold, two sets of n and m words may differ in
+    (q-p)/(q+p) * (n+m) words, the Hamming budget. Sets are rings of boxes:
+
+    1. Boxes make the candidates. A rare word is a box of its own. Sets that
+       share none have used up as much of the budget as they have rare words;
+       for what is left, the slack, the frequent words are cut into more boxes
+       than may differ, so that one box at least is equal (``key_rows``).
+    2. From the equal box on, chains of consecutive boxes must stay within
+       their share of the budget: in the join by a sketch of the ring turned to
+       that box (``within``), then box by box with the exact differences; a
+       chain is dropped at the first length that exceeds its share
+       (``chains``). Pairs that met at a rare word may start at any box of a
+       ring of all words, behind each chain that failed.
+    3. What is left gets the full Hamming check on all words.
+
+    No step drops a pair that is within the budget: of boxes whose differences
+    sum to the budget or less, one starts a ring of chains that all hold. Empty
+    sets have no partner. A word in ``least`` rows or fewer is rare; a rare word
+    is in a bounded number of rows (``word_order``), other hot boxes are split
+    by adaptive execution.
     """
-    spark = sets.sparkSession
-    share = Fraction(threshold).limit_denominator(1000)
-    p, q = share.numerator, share.denominator
-    sets = sets.where(F.size("words") > 0)
-    known, counts = ws.frequent(sets, "words", RARE, FREQUENT_SENT)
-    n_rows = sets.count()
+    both, order, budget = candidates(sets.where(F.size("words") > 0), threshold, scratch, least)
+    return scratch.write(both.mapInArrow(_check(order, budget), "a long, b long, overlap double"), "links")
 
-    def sized(batches):
-        for batch in batches:
-            splits, hashes = ws.flat(batch.column(0))
-            _, rank = ws.rare_first(splits, hashes, known, counts)
-            row = np.repeat(np.arange(len(splits) - 1), np.diff(splits))
-            r = np.bincount(row, rank == 0, len(splits) - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(splits) - r), pa.array(r)], names=["c", "r"])
 
-    cells = _cells(sets.select("words").mapInArrow(sized, "c long, r long"), ("c", "r"))
-    keys = sets.select("id", "words").mapInArrow(_keys(known, counts, cells, n_rows // 25 + 1, p, q), "key long, id long, n int, s0 long, s1 long")
-    # one exchange serves both sides; the hint keeps an estimate made before the keys exist from broadcasting them
-    keys = keys.hint("merge")
-    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.n") * p <= F.col("b.n") * q) & (F.col("b.n") * p <= F.col("a.n") * q) 
-    apart = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    near = near & (apart * (p + q) <= (q - p) * (F.col("a.n") + F.col("b.n")))
-    pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    pairs = scratch.write(pairs, "pairs")
-    held = sets.select("id", "words")
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return scratch.write(both.select("a", "b", "wa", "wb").mapInArrow(_check(p, q), "a long, b long, overlap double"), "links")
+def effort(sets: DataFrame, threshold: float, scratch: Scratch) -> dict[str, int]:
+    """How many pairs the boxes gave, with how many starts, boxes compared before they were dropped or held, and pairs that were left for the full check."""
+    both, order, budget = candidates(sets.where(F.size("words") > 0), threshold, scratch)
+    total = both.mapInArrow(_check(order, budget, True), "pairs long, starts long, compared long, passed long")
+    return total.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in total.columns]).first().asDict()
 
 
 def task_sets(tasks: DataFrame) -> DataFrame:
@@ -243,23 +149,21 @@ def near_pairs(tasks: DataFrame, threshold: float = 0.7) -> DataFrame:
 def near_groups(tasks: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(task_id, group_id, class_id, n_links) of every task with words.
 
-    A class holds the tasks with equal word sets, a group the classes that
-    chains of links join; n_links counts a class's links to other classes.
-    group_id is the smallest task_id of the group.
+    A class holds the tasks with equal word sets and is named by the smallest
+    task_id of them, a group the classes that chains of links join, named
+    likewise; n_links counts a class's links to other classes.
     """
-    from .splits import spanning_forest
+    from .splits import contract
 
-    spark = tasks.sparkSession
+    scratch = Scratch(tasks.sparkSession, "neargroups")
     links, members = near_tasks(tasks, threshold)
-    scratch = Scratch(spark, "neargroups")
-    members = scratch.write(members.withColumnRenamed("id", "class_id"), "members")
-    ends = links.select(F.col("a").alias("class_id")).union(links.select("b"))
-    degree = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
-    name = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
-    edge = F.concat(F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"))
-    sides = links.select(F.explode(F.array(name("a"), name("b"))).alias("node"), edge.alias("edge"))
-    roots = spanning_forest(sides, "node", "edge").roots.select(F.col("node").cast("long").alias("class_id"), F.col("root").cast("long").alias("root"))
-    joined = members.join(degree, "class_id", "left").join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    members = scratch.write(members, "members")
+    classes = scratch.write(members.groupBy("id").agg(F.min("task_id").alias("class_id")), "classes")
+    ends = links.select(F.col("a").alias("id")).union(links.select("b"))
+    degree = ends.groupBy("id").agg(F.count("*").alias("n_links"))
+    roots = contract(links.select(F.col("a").alias("lo"), F.col("b").alias("hi")), scratch).roots.withColumnRenamed("node", "id")
+    joined = classes.join(degree, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     joined = scratch.write(joined, "joined")
-    smallest = joined.groupBy("root").agg(F.min("task_id").alias("group_id"))
-    return joined.join(smallest, "root").select("task_id", "group_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    smallest = joined.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    named = joined.join(smallest, "root").select("id", "group_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(named, "id").select("task_id", "group_id", "class_id", "n_links")

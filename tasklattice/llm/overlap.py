@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,78 +9,10 @@ from pyspark.sql import functions as F
 
 from tasklattice.session import Scratch
 
+from . import boxes as bx
 from . import words as ws
-from .neardup import FREQUENT_SENT, RARE, _sketch
 from .splits import family_key
 
-#: Kinds of segment: a rare word, a pair of neighbouring frequent words, a frequent word.
-_RARE, _PAIR, _WORD = 1, 2, 3
-
-
-def _cells(sized: DataFrame) -> np.ndarray:
-    """Rows (c_low, c_high, r_low) of the sizes that occur, in buckets of 3 %: a few hundred at most."""
-    bucket = F.floor(F.log(F.col("c") + 1.0) / float(np.log(1.03))).cast("int")
-    few = F.least(F.col("r"), F.lit(40))
-    rows = sized.groupBy(bucket.alias("b"), few.alias("f")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("r").alias("r")).collect()
-    return np.array([(x["lo"], x["hi"], x["r"]) for x in rows], np.int64).reshape(-1, 3)
-
-
-def _left(c: np.ndarray, r: np.ndarray, cells: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Edits that may remain for the frequent words of a pair that shares no rare word; -1: no such partner occurs."""
-    out = np.full(len(c), -1, np.int64)
-    for lo, hi, rare in cells:
-        shared = -(-p * (c + r + lo + rare) // (p + q))
-        edits = ((q - p) * (c + r + hi + rare)) // (p + q) - r - rare
-        out = np.maximum(out, np.where(shared <= np.minimum(c, hi), edits, -1))
-    return out
-
-
-def _segments(known, counts, cells, common_from, p, q, held):
-    """Keys of segments: of held-out strings the segments they are cut into, of training strings the substrings that may match."""
-
-    def run(batches):
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 2048):
-                batch = whole.slice(begin, 2048)
-                splits, hashes = ws.flat(batch.column(1))
-                n = np.diff(splits)
-                hashes, rank = ws.rare_first(splits, hashes, known, counts)
-                s0, s1 = _sketch(splits, hashes, rank >= common_from)
-                row = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(row)) - splits[row]
-                r = np.bincount(row, rank == 0, len(n)).astype(np.int64)
-                c = n - r
-                lost = n + (-p * n // q)
-                left = _left(c, r, cells, p, q)
-                parts = []
-
-                def add(kind, where, key):
-                    parts.append((ws.mix(key + np.uint64(kind)), row[where], place[where]))
-
-                single = np.flatnonzero((rank == 0) & (place <= lost[row]))
-                add(_RARE, single, hashes[single])
-                inner = place - r[row]
-                paired = c >= 2 * (left + 1)
-                frequent = (rank > 0) & (left[row] >= 0)
-                if held:
-                    two = frequent & paired[row] & (inner % 2 == 0) & (inner <= 2 * left[row])
-                    one = frequent & ~paired[row] & (inner <= left[row])
-                else:
-                    two = frequent & (inner <= 3 * left[row]) & (inner + 1 < c[row])
-                    one = frequent & (inner <= left[row])
-                two, one = np.flatnonzero(two), np.flatnonzero(one)
-                if len(two):
-                    add(_PAIR, two, ws.mix(hashes[two] * np.uint64(31) + hashes[two + 1]))
-                add(_WORD, one, hashes[one])
-                key, own, at = (np.concatenate([x[k] for x in parts]) for k in range(3))
-                if len(key):
-                    ids = batch.column(0).to_numpy()
-                    arrays = [key.view(np.int64), ids[own], n[own].astype(np.int32), at.astype(np.int32), s0[own], s1[own]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "id", "n", "at", "s0", "s1"])
-
-    return run
-
-
 def banded_distance(sa, a, sb, b, most: np.ndarray) -> np.ndarray:
     """Insertions and deletions that turn row i of ``a`` into row i of ``b``, where they are ``most[i]`` or fewer, else a larger number.
 
@@ -123,12 +53,11 @@ def banded_distance(sa, a, sb, b, most: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verify(known, counts, p, q):
+def _verify(order: bx.Order, budget: bx.Budget):
     def near(batch, x, y):
         (sa, a), (sb, b) = ws.flat(batch.column(x)), ws.flat(batch.column(y))
-        a, _ = ws.rare_first(sa, a, known, counts)
-        b, _ = ws.rare_first(sb, b, known, counts)
-        most = (q - p) * (np.diff(sa) + np.diff(sb)) // (p + q)
+        a, b = order.arrange(sa, a)[0], order.arrange(sb, b)[0]
+        most = budget.whole(np.diff(sa) + np.diff(sb)) // budget.unit
         return banded_distance(sa, a, sb, b, most) <= most
 
     def run(batches):
@@ -146,59 +75,46 @@ def _verify(known, counts, p, q):
     return run
 
 
-def segment_join(reps: DataFrame, main: str, other: str, threshold: float, scratch: Scratch) -> DataFrame:
+def segment_join(reps: DataFrame, main: str, other: str, threshold: float, scratch: Scratch, least: int = bx.LEAST) -> DataFrame:
     """(a, b): ids of a held-out and a training class whose sets ``main`` and ``other`` both overlap by ``threshold`` or more.
 
-    A set is read as a string of its words, rare words first, then by
-    frequency: the same order for all strings, so that the edit distance
-    (insertions and deletions) of two strings is the size of the difference of
-    their sets. With p/q the threshold it may be k = (q-p)/(q+p) * (n+m).
-
-    1. Held-out strings are cut into segments, more than edits can destroy:
-       each rare word is one, as many as n - ceil(p/q n) + 1; if all of those
-       may be lost to k, the frequent words that follow are cut into pairs of
-       neighbours (single words if they are too few), one more than the edits
-       that are then left. Lengths depend on the words' frequency because equal
-       lengths would make segments of common words alone.
-    2. A training string shows its substrings of these kinds at the positions
-       an edit distance of k allows. Segments and substrings meet in a join on
-       their hash; positions p and p' must satisfy
-       abs(p - p') + abs((n - p) - (m - p')) <= k, and a sketch of 128 bits may
-       differ in k bits.
+    A set is read as a string of its words in one order for all strings, so
+    that the edit distance (insertions and deletions) of two strings is the
+    size of the difference of their sets. With p/q the threshold it may be
+    k = (q-p)/(q+p) * (n+m).
+
+    1. A held-out string is cut from end to end into segments, one more than k
+       edits can destroy. Rare words stand first, each a segment of its own.
+       Edits that insert or delete a rare word hit no other segment, so if no
+       rare word is shared, those of both strings are off the budget and the
+       rest is cut into one segment more than edits are left. Segments are of
+       unequal length: the cuts are marks in the order of words at equal steps
+       of information, so that none has common words only.
+    2. A training string shows its substrings between the same marks, and its
+       rare words. Segments and substrings meet in a join on their content, if
+       the edit distance allows their places: p and p' must satisfy
+       abs(p - p') + abs((n - p) - (m - p')) <= k; a sketch of the strings and
+       of the stretches behind the segment must keep to the budget, too.
     3. Candidates are verified by banded dynamic programming on both strings.
 
     No step loses a pair within the thresholds. A segment of a rare word is in
-    RARE rows at most; other hot segments are split by adaptive execution.
+    a bounded number of rows; other hot segments are split by adaptive execution.
     """
-    spark = reps.sparkSession
-    share = Fraction(threshold).limit_denominator(1000)
-    p, q = share.numerator, share.denominator
-    known, counts = ws.frequent(reps, main, RARE, FREQUENT_SENT)
-
-    def sized(batches):
-        for batch in batches:
-            splits, hashes = ws.flat(batch.column(0))
-            _, rank = ws.rare_first(splits, hashes, known, counts)
-            row = np.repeat(np.arange(len(splits) - 1), np.diff(splits))
-            r = np.bincount(row, rank == 0, len(splits) - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(splits) - r), pa.array(r)], names=["c", "r"])
-
-    cells = _cells(reps.select(main).mapInArrow(sized, "c long, r long"))
-    common = reps.count() // 25 + 1
-    out = "key long, id long, n int, at int, s0 long, s1 long"
-    held = reps.where("held").select("id", main).mapInArrow(_segments(known, counts, cells, common, p, q, True), out).alias("a")
-    train = reps.where("train").select("id", main).mapInArrow(_segments(known, counts, cells, common, p, q, False), out).hint("merge").alias("b")
+    budget = bx.Budget.of(threshold)
+    order = bx.word_order(reps, main, least=least)
+    kinds = bx.cells(reps, main, order, budget, both_ways=True)
+    held = bx.key_rows(reps.where("held"), "id", main, order, kinds, budget, True).alias("a")
+    train = bx.key_rows(reps.where("train"), "id", main, order, kinds, budget, False).hint("merge").alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     shift = F.abs(a("at") - b("at")) + F.abs((a("n") - a("at")) - (b("n") - b("at")))
-    apart = F.bit_count(a("s0").bitwiseXOR(b("s0"))) + F.bit_count(a("s1").bitwiseXOR(b("s1")))
-    budget = (q - p) * (a("n") + b("n"))
-    near = (a("key") == b("key")) & (a("id") != b("id")) & (shift * (p + q) <= budget) & (apart * (p + q) <= budget)
-    pairs = scratch.write(held.join(train, near).select(a("id").alias("a"), b("id").alias("b")).distinct(), "pairs")
+    allowed = shift * budget.unit <= budget.whole(a("n") + b("n"))
+    met = held.join(train, bx.within("a", "b", budget) & (a("id") != b("id")) & allowed)
+    pairs = scratch.write(met.select(a("id").alias("a"), b("id").alias("b")).distinct(), "pairs")
     words = lambda name: reps.select(F.col("id").alias(name), F.col(main).alias(f"m{name}"), F.col(other).alias(f"o{name}"))
     both = pairs.join(words("a"), "a").join(words("b"), "b").select("a", "b", "ma", "mb", "oa", "ob")
-    found = both.mapInArrow(_verify(known, counts, p, q), "a long, b long")
+    found = both.mapInArrow(_verify(order, budget), "a long, b long")
     same = reps.where("held and train").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    return found.union(same)
+    return scratch.write(found.union(same), "found")
 
 
 def side(split):
@@ -217,12 +133,12 @@ def split_name(split):
     return F.when(side(split), "train").when(letters.isin(_VALIDATION), "validation").when(letters.isin(_TEST), "test").otherwise(letters)
 
 
-def cross_split_pairs(tasks: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(held, train): task ids of every held-out and training task whose requests and whose files overlap by ``threshold``.
+def cross_split(tasks: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links (a, b) from held-out to training classes of equal texts, members (task_id, id, held, train).
 
     Words of all files' contents count together. Tasks with a null split or
     without words in the request or the files take no part. Every non-null
-    task_id counts once. Copies of a text are joined once and expanded at the end.
+    task_id counts once.
     """
     scratch = Scratch(tasks.sparkSession, "overlap")
     train = side(F.col("split"))
@@ -235,22 +151,43 @@ def cross_split_pairs(tasks: DataFrame, threshold: float = 0.7) -> DataFrame:
     )
     sets = ws.word_sets(texts, ["task_id", "train", "held"], ["request", "files"])
     reps, members = ws.set_classes(sets, "task_id", ["request", "files"], scratch, ["train", "held"])
-    pairs = segment_join(reps, "files", "request", threshold, scratch)
+    return segment_join(reps, "files", "request", threshold, scratch), scratch.write(members, "members")
+
+
+def cross_split_pairs(tasks: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(held, train): task ids of every held-out and training task whose requests and whose files overlap by ``threshold``, copies included."""
+    links, members = cross_split(tasks, threshold)
     a = members.where("held").select(F.col("task_id").alias("held"), F.col("id").alias("a"))
     b = members.where("train").select(F.col("task_id").alias("train"), F.col("id").alias("b"))
-    return pairs.join(a, "a").join(b, "b").select("held", "train")
+    return links.join(a, "a").join(b, "b").select("held", "train")
+
+
+def overlap_classes(tasks: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(task_id, class_id, held, n_links, n_tasks) of every task that takes part: overlaps without a row per pair.
+
+    A class holds the tasks with equal words and is named by the smallest
+    task_id. n_links counts the classes of the other side that overlap with it
+    (its own, if it has tasks of both sides), n_tasks the tasks in them.
+    """
+    links, members = cross_split(tasks, threshold)
+    sizes = members.groupBy("id").agg(F.min("task_id").alias("class_id"), F.count_if("held").alias("n_held"), F.count_if("train").alias("n_train"))
+    sizes = Scratch(tasks.sparkSession, "overlapclasses").write(sizes, "sizes")
+    counted = lambda own, far, n: links.join(sizes.select(F.col("id").alias(far), F.col(n).alias("n")), far).groupBy(F.col(own).alias("id")).agg(F.count("*").alias("n_links"), F.sum("n").alias("n_tasks"))
+    sides = counted("a", "b", "n_train").withColumn("held", F.lit(True)).union(counted("b", "a", "n_held").withColumn("held", F.lit(False)))
+    rows = members.join(sizes.select("id", "class_id"), "id").join(sides, ["id", "held"], "left")
+    return rows.select("task_id", "class_id", "held", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_tasks", F.lit(0)).alias("n_tasks"))
 
 
 def overlap_report(tasks: DataFrame, sft: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(split, template_family, n_pairs, n_tasks): overlaps with training by held-out split and sft family.
+    """(split, template_family, n_pairs, n_tasks): overlaps with training by held-out split and sft family, and the held-out tasks that have one.
 
     The family is that of the held-out task's sft records, letters and digits
     in lower case, the smallest if they disagree; ``none`` where there is no
-    record or family.
+    record or family. Pairs are counted from the sizes of classes.
     """
-    pairs = cross_split_pairs(tasks, threshold)
-    splits = tasks.where(F.col("task_id").isNotNull()).groupBy(F.col("task_id").alias("held")).agg(F.min(split_name(F.col("split"))).alias("split"))
-    families = sft.where(F.col("task_id").isNotNull()).groupBy(F.col("task_id").alias("held")).agg(F.min(family_key(F.col("template_family"))).alias("template_family"))
-    named = pairs.join(splits, "held").join(families, "held", "left")
+    found = overlap_classes(tasks, threshold).where("held and n_links > 0").select(F.col("task_id").alias("t"), "n_tasks")
+    splits = tasks.where(F.col("task_id").isNotNull()).groupBy(F.col("task_id").alias("t")).agg(F.min(split_name(F.col("split"))).alias("split"))
+    families = sft.where(F.col("task_id").isNotNull()).groupBy(F.col("task_id").alias("t")).agg(F.min(family_key(F.col("template_family"))).alias("template_family"))
+    named = found.join(splits, "t").join(families, "t", "left")
     family = F.coalesce("template_family", F.lit("none")).alias("template_family")
-    return named.groupBy("split", family).agg(F.count("*").alias("n_pairs"), F.count_distinct("held").alias("n_tasks"))
+    return named.groupBy("split", family).agg(F.sum("n_tasks").alias("n_pairs"), F.count("*").alias("n_tasks"))

@@ -50,6 +50,11 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_tasks(table(spark, sf_dir, "tasks"))
 
 
+def p2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spanning forest of the groups, as pairs of tasks with the digest of the family or command they share."""
+    return splits.task_forest(table(spark, sf_dir, "tasks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three candidates of every task."""
     return topn.best_candidates(table(spark, sf_dir, "candidates"), 3).select("task_id", "candidate_id")
@@ -66,6 +71,11 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(table(spark, sf_dir, "tasks"), table(spark, sf_dir, "sft"), 0.7)
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every task and its number of overlaps with the other side, without a row per pair."""
+    return overlap.overlap_classes(table(spark, sf_dir, "tasks"), 0.7)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tasks that share 0.7 of their words."""
     return neardup.near_pairs(table(spark, sf_dir, "tasks"), 0.7)
@@ -112,7 +122,7 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p1_overall, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_groups, p6_sequences, p6_messages, p7_found, p7_report, p8_found, p8_stats, p8_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_judges, p1_overall, p2_found, p2_splits, p2_forest, p3_found, p4_found, p4_classes, p4_report, p5_found, p5_groups, p6_sequences, p6_messages, p7_found, p7_report, p8_found, p8_stats, p8_counts)}
 
 # SQL counterparts, over whole tables; where SQL is too slow or can't say it, tests hold the query against brute force.
 _FAMILY = "regexp_replace(lower(provenance.template_family), '[^\\p{L}\\p{Nd}]+', '', 'g')"

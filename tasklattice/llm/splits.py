@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklattice.session import Scratch
 
-#: Length of the dealing pattern of a size band; shares are exact to one group in so many.
-CYCLE = 1000
-
 # Families that join nothing, as letters and digits in lower case.
 NO_FAMILY = ["", "llmauthored", "unknown", "none", "na"]
 
@@ -38,50 +35,47 @@ def command_key(command):
 
 @dataclass
 class Groups:
-    """roots: (node, root) of every node that has an edge; forest: (child, parent, round) of the spanning forest."""
+    """roots: (node, root) of every node that has an edge; forest: (a, b, key, round), edges of the input, as many as nodes less groups."""
 
     roots: DataFrame
     forest: DataFrame
 
 
-def spanning_forest(links: DataFrame, node: str, key: str, scratch: Scratch | None = None) -> Groups:
-    """Connected groups of nodes that share a key, by Borůvka's contraction.
+def contract(edges: DataFrame, scratch: Scratch) -> Groups:
+    """Connected groups of the nodes of edges (lo, hi[, key]), by Borůvka's minimum-edge contraction.
 
-    Every key with two or more nodes becomes a star around its smallest node,
-    so a key held by a third of all nodes gives one edge per node and no
-    pairs. In each round every vertex picks its smallest edge (by smaller,
-    then larger end), the picked edges join the forest, pointer jumping finds
-    the root of each tree, and the edges are relabelled by root; what no
-    longer joins two roots goes. The vertices of a component at least halve
-    in each round. Maps and forest are tables in the shared folder, so a lost
-    executor costs one round at most.
-
-    ``links`` rows with a null node or key are ignored. Joins on a hub are
-    split by adaptive execution where a hub is hot; minima are combined before
-    the shuffle.
+    In each round every vertex picks its smallest edge (by smaller, then larger
+    end), the picked edges join the forest, pointer jumping finds the root of
+    each tree, and the edges are relabelled by root; what no longer joins two
+    roots goes. The vertices of a component at least halve in each round. An
+    edge carries the edge of the input it stands for, so the forest is one of
+    the input. Forest and maps are tables in the shared folder: a lost executor
+    costs one round at most.
+
+    Joins on a hub are split by adaptive execution where a hub is hot; minima
+    are combined before the shuffle. Edges from a node to itself join nothing.
     """
-    spark = links.sparkSession
-    scratch = scratch or Scratch(spark, "forest")
-    links = links.where(F.col(node).isNotNull() & F.col(key).isNotNull()).select(F.col(node).alias("u"), F.col(key).alias("k"))
-    links = scratch.write(links, "links")
-    hubs = links.groupBy("k").agg(F.min("u").alias("hub"), F.max("u").alias("_far")).where("hub < _far").select("k", "hub")
-    edges = links.join(hubs, "k").where("u != hub").select(F.col("hub").alias("lo"), F.col("u").alias("hi")).distinct()
-    edges = scratch.write(edges, "edges0")
+    spark = edges.sparkSession
+    if "key" not in edges.columns:
+        edges = edges.withColumn("key", F.lit(None).cast("string"))
+    kind = edges.schema["lo"].dataType.simpleString()
+    edges = edges.where("lo != hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), F.struct("lo", "hi", "key").alias("e"))
+    edges = scratch.write(edges.groupBy("lo", "hi").agg(F.min("e").alias("e")), "edges0")
     n_edges, k = edges.count(), 0
-    empty = spark.createDataFrame([], "child string, parent string, round int")
     forests, maps = [], []
     while n_edges:
-        ends = edges.select(F.col("lo").alias("x"), F.col("hi").alias("y")).union(edges.select("hi", "lo"))
-        picks = scratch.write(ends.groupBy("x").agg(F.min("y").alias("y")), f"picks{k}")
+        ends = edges.select(F.col("lo").alias("x"), F.col("hi").alias("y"), "e").union(edges.select("hi", "lo", "e"))
+        picks = scratch.write(ends.groupBy("x").agg(F.min(F.struct("y", "e")).alias("p")).select("x", "p.y", "p.e"), f"picks{k}")
         other = picks.select(F.col("x").alias("y"), F.col("y").alias("back"))
         # a vertex smaller than all its neighbours is a root if its pick answers
-        tree = picks.join(other, "y").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("y"))
-        tree = scratch.write(tree, f"tree{k}")
-        forests.append(tree.where("x != y").select(F.col("x").alias("child"), F.col("y").alias("parent"), F.lit(k).alias("round")))
-        jumped, j = tree, 0
+        up = F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("y")
+        tree = scratch.write(picks.join(other, "y").select("x", up, "e"), f"tree{k}")
+        forests.append(tree.where("x != y").select(F.col("e.lo").alias("a"), F.col("e.hi").alias("b"), "e.key", F.lit(k).alias("round")))
+        jumped, j = tree.select("x", "y"), 0
         while True:
-            up = jumped.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            new = scratch.write(jumped.join(up, "y").select("x", F.col("z").alias("y"), (F.col("z") != F.col("y")).alias("moved")), f"jump{k}_{j}")
+            above = jumped.select(F.col("x").alias("y"), F.col("y").alias("z"))
+            new = jumped.join(above, "y").select("x", F.col("z").alias("y"), (F.col("z") != F.col("y")).alias("moved"))
+            new = scratch.write(new, f"jump{k}_{j}")
             moved = new.where("moved").limit(1).count()
             if j:
                 scratch.drop(f"jump{k}_{j - 1}")
@@ -91,74 +85,85 @@ def spanning_forest(links: DataFrame, node: str, key: str, scratch: Scratch | No
         maps.append(jumped)
         a = jumped.select(F.col("x").alias("lo"), F.col("y").alias("a"))
         b = jumped.select(F.col("x").alias("hi"), F.col("y").alias("b"))
-        left = edges.join(a, "lo").join(b, "hi").where("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+        left = edges.join(a, "lo").join(b, "hi").where("a != b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("e").alias("e"))
         edges = scratch.write(left, f"edges{k + 1}")
         n_edges = edges.count()
         scratch.drop(f"edges{k}", f"picks{k}")
         k += 1
-    forest = empty
+    forest = spark.createDataFrame([], f"a {kind}, b {kind}, key string, round int")
     for f in forests:
         forest = forest.union(f)
-    roots = maps[0].select(F.col("x").alias("node"), F.col("y").alias("root")) if maps else spark.createDataFrame([], "node string, root string")
+    roots = maps[0].select(F.col("x").alias("node"), F.col("y").alias("root")) if maps else spark.createDataFrame([], f"node {kind}, root {kind}")
     for m in maps[1:]:
         roots = roots.join(m.select(F.col("x").alias("root"), F.col("y").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return Groups(roots, forest)
 
 
-def _pattern(shares: list[float], length: int) -> list[int]:
-    """A sequence of split numbers in which every prefix has the shares as nearly as can be."""
-    given, out = [0.0] * len(shares), []
-    for i in range(length):
-        s = max(range(len(shares)), key=lambda s: (shares[s] * (i + 1) - given[s], -s))
-        given[s] += 1
-        out.append(s)
-    return out
+def spanning_forest(links: DataFrame, node: str, key: str, scratch: Scratch | None = None) -> Groups:
+    """Connected groups of nodes that share a key.
+
+    Every key with two or more nodes becomes a star around its smallest node,
+    so a key held by a third of all nodes gives one edge per node and no pairs;
+    the stars are contracted. ``links`` rows with a null node or key are
+    ignored. Nodes that share no key get no root.
+    """
+    scratch = scratch or Scratch(links.sparkSession, "forest")
+    links = links.where(F.col(node).isNotNull() & F.col(key).isNotNull()).select(F.col(node).alias("u"), F.col(key).alias("k"))
+    links = scratch.write(links, "links")
+    hubs = links.groupBy("k").agg(F.min("u").alias("hub"), F.max("u").alias("_far")).where("hub < _far").select("k", "hub")
+    named = F.lower(F.hex("k")) if dict(links.dtypes)["k"] == "binary" else F.col("k").cast("string")
+    return contract(links.join(hubs, "k").where("u != hub").select(F.col("hub").alias("lo"), F.col("u").alias("hi"), named.alias("key")), scratch)
 
 
 def deal(groups: DataFrame, group: str, size: str, splits: dict[str, float], seed: int = 0) -> DataFrame:
     """(group, split): groups stratified by size band and dealt systematically.
 
     Bands are powers of two of the group size and are dealt from the largest
-    down. In a band the groups stand in the order of a hash and are dealt in a
-    pattern whose shares are what each split still lacks of its proportion, so
-    what large groups unbalance is made up by smaller ones. A group is never
+    down. In a band the groups stand in the order of a hash, and a walk along
+    their summed sizes deals them: to each split as much as it still lacks of
+    its proportion of all that is dealt with this band. What was really dealt
+    is summed up after each band, so a deviation by a large group is made up by
+    smaller ones, and in the end a split is off by less than one group of the
+    smallest band in which there was something left to deal. A group is never
     divided: one that is larger than a split's share takes it over.
 
-    A group's place within its band is counted with a running number per
-    partition and the partitions' counts; only the counts (bands times
-    partitions) reach the driver, and no window holds a whole band.
+    The running sum has two parts, one within a range partition of a band and
+    one over the partitions (a table with a row per band and partition); no
+    window holds a band. Per band, fewer than 64, a row per split reaches the
+    driver.
     """
     spark = groups.sparkSession
     names = list(splits)
     scratch = Scratch(spark, "deal")
-    ranged = groups.select(group, size, F.floor(F.log2(F.col(size).cast("double"))).cast("int").alias("band"), F.xxhash64(F.lit(seed), group).alias("h"))
-    ranged = ranged.repartitionByRange(F.col("band").desc(), "h", group).sortWithinPartitions(F.col("band").desc(), "h", group)
-    ranged = scratch.write(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ranged")
-    cells = ranged.groupBy("band", "part").agg(F.count("*").alias("n"), F.sum(size).alias("weight"), F.min("at").alias("first")).collect()
-    cells = sorted(cells, key=lambda r: (-r["band"], r["part"]))
-    total, given, offsets, patterns = 0.0, [0.0] * len(names), [], []
-    for band in sorted({r["band"] for r in cells}, reverse=True):
-        own = [r for r in cells if r["band"] == band]
-        n, weight = sum(r["n"] for r in own), float(sum(r["weight"] for r in own))
-        total += weight
-        lack = [max(0.0, splits[s] * total - g) for s, g in zip(names, given, strict=True)]
-        shares = [x / sum(lack) for x in lack] if sum(lack) else list(splits.values())
-        pattern = _pattern(shares, min(n, CYCLE))
-        full, rest = divmod(n, len(pattern))
-        for s in range(len(names)):
-            given[s] += weight / n * (full * pattern.count(s) + pattern[:rest].count(s))
-        before = 0
-        for r in own:
-            offsets.append((band, r["part"], before - r["first"]))
-            before += r["n"]
-        patterns += [(band, k, len(pattern), names[s]) for k, s in enumerate(pattern)]
-    offsets = spark.createDataFrame(offsets, "band int, part int, shift long")
-    lengths = spark.createDataFrame(sorted({(b, n) for b, _, n, _ in patterns}), "band int, len int")
-    patterns = spark.createDataFrame([(b, k, s) for b, k, _, s in patterns], "band int, place long, split string")
-    # at most CYCLE rows per band and fewer than 64 bands
-    placed = ranged.join(F.broadcast(offsets), ["band", "part"]).join(F.broadcast(lengths), "band")
-    placed = placed.withColumn("place", (F.col("at") + F.col("shift")) % F.col("len"))
-    return placed.join(F.broadcast(patterns), ["band", "place"]).select(group, "split")
+    band = F.floor(F.log2(F.col(size).cast("double"))).cast("int")
+    ranged = groups.select(group, size, band.alias("band"), F.xxhash64(F.lit(seed), group).alias("h")).repartitionByRange(F.col("band").desc(), "h", group)
+    ranged = scratch.write(ranged.select("*", F.spark_partition_id().alias("part")), "ranged")
+    parts = ranged.groupBy("band", "part").agg(F.sum(size).alias("weight"))
+    before = F.sum("weight").over(Window.partitionBy("band").orderBy("part")) - F.col("weight")
+    within = F.sum(size).over(Window.partitionBy("band", "part").orderBy("h", group)) - F.col(size)
+    placed = ranged.withColumn("within", within).join(parts.select("band", "part", before.alias("before")), ["band", "part"])
+    placed = scratch.write(placed.select(group, size, "band", (F.col("within") + F.col("before") + F.col(size) / 2).alias("at")).sortWithinPartitions("band"), "placed")
+    weights = {r["band"]: r["weight"] for r in placed.groupBy("band").agg(F.sum(size).alias("weight")).collect()}
+    total, given, cuts = 0.0, dict.fromkeys(names, 0.0), {}
+    for b in sorted(weights, reverse=True):
+        total += weights[b]
+        lack = [max(0.0, splits[s] * total - given[s]) for s in names]
+        ends, upto = [], 0.0
+        for x in lack:
+            upto += x
+            ends.append(upto * weights[b] / sum(lack) if sum(lack) else weights[b])
+        cuts[b] = ends
+        own = placed.where(F.col("band") == b).groupBy(_chosen(F.array(*map(F.lit, ends)), names).alias("split")).agg(F.sum(size).alias("n"))
+        for r in own.collect():
+            given[r["split"]] += r["n"]
+    table = spark.createDataFrame(list(cuts.items()), "band int, ends array<double>")
+    # fewer than 64 rows
+    return placed.join(F.broadcast(table), "band").select(group, _chosen(F.col("ends"), names).alias("split"))
+
+
+def _chosen(ends, names: list[str]):
+    """The first split whose end lies beyond the place ``at``, the last one if none does."""
+    return F.coalesce(*[F.when(F.col("at") < ends[k], name) for k, name in enumerate(names)], F.lit(names[-1]))
 
 
 def task_links(tasks: DataFrame) -> DataFrame:
@@ -188,6 +193,12 @@ def grouped_pairs(tasks: DataFrame) -> DataFrame:
     return roots.join(smallest, "root").select("group_id", F.col("node").alias("task_id"))
 
 
+def task_forest(tasks: DataFrame) -> DataFrame:
+    """(task_id_a, task_id_b, key, round) of a spanning forest of the groups: pairs of tasks, smaller first, that share the family or command of that digest."""
+    forest = spanning_forest(task_links(tasks), "task_id", "key").forest
+    return forest.select(F.least("a", "b").alias("task_id_a"), F.greatest("a", "b").alias("task_id_b"), "key", "round")
+
+
 def split_tasks(tasks: DataFrame, splits: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
     """(task_id, group_id, group_size, split): one split per task, whole groups together.
 

@@ -120,31 +120,6 @@ def word_sets(df: DataFrame, keep: list[str], texts: list[str]) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def frequent(sets: DataFrame, words: str, least: int, most: int) -> np.ndarray:
-    """Sorted hashes and counts, as rows (hash, count), of the words in more than ``least`` rows; at most ``most`` of them.
-
-    Counted over all rows. Only the most frequent ``most`` words reach the
-    driver: a fixed bound, beyond which a word is ordered as a rare one, which
-    changes the cost of a join and never its result.
-    """
-    counts = sets.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    rows = counts.orderBy(F.desc("n"), "w").limit(most).toPandas()
-    hashes = rows["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], rows["n"].to_numpy(np.int64)[order]
-
-
-def rare_first(splits: np.ndarray, hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, rank) with each row ordered by rank, then hash; rank is the count of a frequent word, else 0."""
-    rank = np.zeros(len(hashes), np.int64)
-    if len(known) and len(hashes):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        rank = np.where(known[at] == hashes, counts[at], 0)
-    row = np.repeat(np.arange(len(splits) - 1), np.diff(splits))
-    order = np.lexsort((hashes, rank, row))
-    return hashes[order], rank[order]
-
-
 def set_classes(sets: DataFrame, key: str, cols: list[str], scratch, marks: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(representatives, members) of rows whose word sets ``cols`` are all equal; rows with an empty set are left out.
 

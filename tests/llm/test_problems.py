@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tasklattice.llm import boxes as bx
 from tasklattice.llm import consensus as cs
 from tasklattice.llm import leaks, neardup, overlap, packing, quality, queries, splits, topn
 from tasklattice.llm import words as ws
@@ -43,35 +44,63 @@ def similar(sets, t=(7, 10)):
     return {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and sets[b] and len(sets[a] & sets[b]) * t[1] >= t[0] * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("seed,rare,paired,vocabulary", [(1, 3, 300, 60), (2, 0, 300, 40), (3, 3, 8, 60), (4, 50, 300, 2000)])
-def test_set_join_loses_nothing(spark, monkeypatch, seed, rare, paired, vocabulary):
-    monkeypatch.setattr(neardup, "RARE", rare)
-    monkeypatch.setattr(neardup, "PAIRED_SIZE", paired)
-    sets = random_sets(random.Random(seed), 160, vocabulary, 1, 24)
+@pytest.mark.parametrize("seed,least,vocabulary,large", [(1, 3, 60, 24), (2, 0, 40, 24), (3, 1, 60, 60), (4, 50, 2000, 24), (5, 0, 300, 700)])
+def test_set_join_loses_nothing(spark, seed, least, vocabulary, large):
+    sets = random_sets(random.Random(seed), 160, vocabulary, 1, large)
     sets = list(map(set, {frozenset(s) for s in sets}))
-    got = neardup.set_join(sets_frame(spark, list(enumerate(sets))), 0.7, Scratch(spark, "t")).collect()
+    got = neardup.set_join(sets_frame(spark, list(enumerate(sets))), 0.7, Scratch(spark, "t"), least).collect()
     assert {(r["a"], r["b"]) for r in got} == similar(sets) and len(got) == len(similar(sets))
 
 
-@pytest.mark.parametrize("seed,rare,vocabulary", [(5, 3, 60), (6, 0, 40), (7, 60, 500)])
-def test_segment_join_loses_nothing(spark, monkeypatch, seed, rare, vocabulary):
-    monkeypatch.setattr(overlap, "RARE", rare)
+@pytest.mark.parametrize("seed,least,vocabulary,large", [(5, 3, 60, 24), (6, 0, 40, 24), (7, 60, 500, 24), (8, 0, 300, 700)])
+def test_segment_join_loses_nothing(spark, seed, least, vocabulary, large):
     rng = random.Random(seed)
-    sets = list(map(set, {frozenset(s) for s in random_sets(rng, 160, vocabulary, 1, 24)}))
+    sets = list(map(set, {frozenset(s) for s in random_sets(rng, 160, vocabulary, 1, large)}))
     held = [rng.random() < 0.4 for _ in sets]
     df = sets_frame(spark, list(enumerate(sets)))
     flags = spark.createDataFrame([(i, h, not h) for i, h in enumerate(held)], "id long, held boolean, train boolean")
     reps = df.join(flags, "id").withColumn("other", F.col("words")).cache()
-    got = {tuple(sorted(r)) for r in overlap.segment_join(reps, "words", "other", 0.7, Scratch(spark, "t")).collect()}
+    got = {tuple(sorted(r)) for r in overlap.segment_join(reps, "words", "other", 0.7, Scratch(spark, "t"), least).collect()}
     assert got == {p for p in similar(sets) if held[p[0]] != held[p[1]]}
 
 
-def test_ring_never_refuses_a_row_within_budget():
+def ring_rows(rng, rows, m):
+    """Random rings as (pair, box, hashes) of both sides, and the boxes' differences."""
+    sides = rng.integers(0, 3, (rows, m, 12))
+    pair, box, word = np.nonzero(sides[:, :, :] >= 1)
+    twice = sides[pair, box, word] == 2
+    h = (pair * m + box) * 12 + word
+    both = lambda x: np.concatenate([x, x[twice]])
+    return both(pair), both(box), both(h).astype(np.uint64), (sides == 1).sum(2)
+
+
+def test_chains_hold_as_in_the_definition():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        least = rng.integers(0, 4, (50, 16))
-        assert neardup.ring(least, least.sum(1).astype(float)).all()
-    assert not neardup.ring(np.full((1, 16), 2), np.array([16.0])).any()
+    for m in (1, 5, 16):
+        pair, box, h, apart = ring_rows(rng, 300, m)
+        boxes, left = np.full(300, m), rng.integers(0, 8 * m, 300)
+        holds = np.array([[all(sum(np.roll(a, -i)[:k]) * m <= k * b for k in range(1, m + 1)) for i in range(m)] for a, b in zip(apart, left, strict=True)])
+        got, compared = bx.chains(pair, box, h, boxes, np.zeros(300, np.int64), np.ones(300, bool), left, 1)
+        assert set(got) == set(np.flatnonzero(holds.any(1))) == set(np.flatnonzero(apart.sum(1) <= left)) and 300 <= compared <= 600 * m
+        start = rng.integers(0, m, 300)
+        got, _ = bx.chains(pair, box, h, boxes, start, np.zeros(300, bool), left, 1)
+        assert set(got) == set(np.flatnonzero(holds[np.arange(300), start]))
+
+
+def test_turned_rings():
+    rng = random.Random(1)
+    for width in (1, 7, 63, 64, 65, 119, 128):
+        rows = [(rng.getrandbits(width), rng.randrange(width)) for _ in range(40)]
+        low, high = (np.array([v >> s & (1 << 64) - 1 for v, _ in rows], np.uint64) for s in (0, 64))
+        a, b = bx.turned(low, high, np.array([t for _, t in rows]), width)
+        assert [x | y << 64 for x, y in zip(a.tolist(), b.tolist(), strict=True)] == [(v >> t | v << (width - t)) & (1 << width) - 1 for v, t in rows]
+
+
+def test_few_words_are_frequent(spark):
+    sets = [(k, {k % 7, 100 + k % 50, 1000 + k}) for k in range(400)]
+    order = bx.word_order(sets_frame(spark, sets), "words")
+    assert order.limit == bx.LEAST and len(order.known) == 7
+    assert bx.word_order(sets_frame(spark, sets), "words", frequent=16).limit == 75 and sorted(order.place) == list(range(7))
 
 
 def test_banded_distance():
@@ -114,6 +143,8 @@ def test_cross_split_pairs(spark, words_of):
     sft = spark.createDataFrame([("b", "Fam B"), ("b", None), (None, "x")], "task_id string, template_family string")
     report = {(r["split"], r["template_family"]): r["n_pairs"] for r in overlap.overlap_report(tasks(spark, TASKS), sft).collect()}
     assert report == {("test", "famb"): 1, ("validation", "none"): 1, ("test", "none"): 1}
+    rows = overlap.overlap_classes(tasks(spark, TASKS)).collect()
+    assert {r["task_id"]: (r["class_id"], r["held"], r["n_links"], r["n_tasks"]) for r in rows} == {"a": ("a", False, 2, 2), "b": ("a", True, 1, 1), "c": ("c", True, 1, 1), "g": ("g", False, 1, 1), "h": ("h", True, 1, 1)}
 
 
 def test_near_pairs_and_groups(spark, words_of):
@@ -121,7 +152,10 @@ def test_near_pairs_and_groups(spark, words_of):
     sets = {t: words_of(r[2]) | set().union(*[words_of(c) for c in r[4] or []]) for t, r in once.items()}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     assert {tuple(r) for r in neardup.near_pairs(tasks(spark, TASKS)).collect()} == want
-    groups = {r["task_id"]: r["group_id"] for r in neardup.near_groups(tasks(spark, TASKS)).collect()}
+    rows = neardup.near_groups(tasks(spark, TASKS)).collect()
+    groups = {r["task_id"]: r["group_id"] for r in rows}
+    assert {r["task_id"]: r["class_id"] for r in rows} == {t: min(x for x in sets if sets[x] == s) for t, s in sets.items() if s}
+    assert {r["task_id"]: r["n_links"] for r in rows if r["task_id"] in "abc"} == {t: len({frozenset(sets[x]) for p in want if t in p for x in p if sets[x] != sets[t]}) for t in "abc"}
     assert set(groups) == {t for t, s in sets.items() if s}
     assert all(groups[a] == groups[b] for a, b in want) and groups["h"] == "g"
 
@@ -152,8 +186,10 @@ def test_spanning_forest(spark, seed):
     for r in got.roots.collect():
         groups[r["root"]].add(r["node"])
     assert {frozenset(v) for v in groups.values()} == components(links)
-    edges = got.forest.count()
-    assert edges == sum(len(v) - 1 for v in groups.values())
+    forest = got.forest.collect()
+    assert len(forest) == sum(len(v) - 1 for v in groups.values()) and len(components([(n, f"{k}") for k, r in enumerate(forest) for n in (r["a"], r["b"])])) == len(groups)
+    own = set(links)
+    assert all((r["a"], r["key"]) in own and (r["b"], r["key"]) in own for r in forest)
 
 
 def test_splits_keep_groups_and_proportions(spark):
@@ -165,7 +201,7 @@ def test_splits_keep_groups_and_proportions(spark):
     share = Counter()
     for k, n in enumerate(sizes):
         share[got[f"g{k}"]] += n / sum(sizes)
-    assert abs(share["train"] - 0.8) < 0.01 and abs(share["test"] - 0.1) < 0.01
+    assert all(abs(share[s] - x) * sum(sizes) <= 1 for s, x in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
     again = {r["g"]: r["split"] for r in splits.deal(df.repartition(7), "g", "n", {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()}
     assert Counter(again.values()) == Counter(got.values())
 
