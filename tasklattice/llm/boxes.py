@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tasklattice.session import Scratch
+
 from . import words as ws
 
 #: A word is frequent if it makes up more than one in so many of all words; so there are fewer frequent words than this (16 bytes each).
@@ -24,6 +26,8 @@ LEVELS = (0.4, 0.8, 0.97)
 KEY_ROW = "key long, id long, n int, slack long, boxes int, start int, alike boolean, at int, s0 long, s1 long"
 #: Bits of a sketch.
 BITS = 128
+#: Slots of a map of keys: 2**MAP bits, 4 MB. Two keys may share a slot, so a key that isn't there may seem to be, never the other way.
+MAP = 25
 
 
 @dataclass
@@ -35,13 +39,15 @@ class Order:
     ranks by frequency, so that every stretch of the order mixes seldom and
     common words alike. ``mark`` is the share of the information (binary
     entropy of a word's presence) that stands before a word; boxes are cut at
-    equal steps of it. ``limit`` is the number of rows a rare word can be in.
+    equal steps of it. ``limit`` is the number of rows a rare word can be in,
+    ``shared`` a map of the rare words that are in more rows than one.
     """
 
     known: np.ndarray
     place: np.ndarray
     mark: np.ndarray
     limit: int
+    shared: np.ndarray
 
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, mark) of words; place -1 for rare ones."""
@@ -59,7 +65,45 @@ class Order:
         return hashes[order], place[order], mark[order]
 
 
-def word_order(sets: DataFrame, words: str, frequent: int = FREQUENT, least: int = LEAST) -> Order:
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(long, bit) of each key in a map."""
+    return (keys >> np.uint64(70 - MAP)).astype(np.int64), np.uint64(1) << (keys >> np.uint64(64 - MAP) & np.uint64(63))
+
+
+def _hit(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at, bit = _slots(keys)
+    return known[at] & bit != 0
+
+
+def _map_rows(keys_of):
+    """(at, bits) of the map of the keys that ``keys_of`` gives for each batch."""
+
+    def run(batches):
+        own = np.zeros(1 << (MAP - 6), np.uint64)
+        for batch in batches:
+            for keys in keys_of(batch):
+                np.bitwise_or.at(own, *_slots(keys))
+        at = np.flatnonzero(own)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], names=["at", "bits"])
+
+    return run
+
+
+def _key_map(rows: DataFrame) -> np.ndarray:
+    """The map of rows (at, bits): at most 2**(MAP - 6) of them reach the driver, however many keys there are."""
+    found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP - 6), np.uint64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _alone(hashes: np.ndarray) -> np.ndarray:
+    """Keys of rare words."""
+    return ws.mix(hashes + np.uint64(1))
+
+
+def word_order(sets: DataFrame, words: str, scratch: Scratch, frequent: int = FREQUENT, least: int = LEAST) -> Order:
     """The order of the words of ``sets``, from counts over all rows.
 
     A word in more than max(least, all words / frequent) rows is frequent:
@@ -68,8 +112,12 @@ def word_order(sets: DataFrame, words: str, frequent: int = FREQUENT, least: int
     """
     total, rows = sets.agg(F.sum(F.size(words)), F.count("*")).first()
     limit = max(least, (total or 0) // frequent)
-    counts = sets.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > limit).toPandas()
-    hashes, n = counts["w"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.float64)
+    counts = sets.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+    counts = scratch.write(counts, "counts")
+    met = counts.where(F.col("n") <= limit).select("w").mapInArrow(_map_rows(lambda b: [_alone(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))]), "at long, bits long")
+    shared = _key_map(met)
+    counts = counts.where(F.col("n") > limit).toArrow()
+    hashes, n = counts["w"].to_numpy().view(np.uint64), counts["n"].to_numpy().astype(np.float64)
     rank = np.empty(len(n), np.int64)
     rank[np.lexsort((hashes, n))] = np.arange(len(n))
     turned, bits = np.zeros(len(n), np.int64), max(1, int(len(n)).bit_length())
@@ -83,7 +131,7 @@ def word_order(sets: DataFrame, words: str, frequent: int = FREQUENT, least: int
     before = np.cumsum(info[by_place]) - info[by_place] / 2
     mark = before[place] / max(info.sum(), 1e-300)
     known = np.argsort(hashes)
-    return Order(hashes[known], place[known], mark[known], int(limit))
+    return Order(hashes[known], place[known], mark[known], int(limit), shared)
 
 
 @dataclass
@@ -225,7 +273,7 @@ def _up(low: np.ndarray, high: np.ndarray, by: np.ndarray) -> tuple[np.ndarray,
     return low, high
 
 
-def _keys(order: Order, kinds: Cells, budget: Budget, left_side: bool):
+def _keys(order: Order, kinds: Cells, budget: Budget, left_side: bool, seen: np.ndarray | None, alike_too: bool, just_keys: bool):
     def rows(batch):
         splits, hashes = ws.flat(batch.column(1))
         n = np.diff(splits)
@@ -241,15 +289,23 @@ def _keys(order: Order, kinds: Cells, budget: Budget, left_side: bool):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[c.split()[0] for c in KEY_ROW.split(", ")])
 
         alone = np.flatnonzero((place < 0) & (at <= budget.lost(n)[row]))
-        if len(alone):
+        alone = alone[_hit(order.shared, _alone(hashes[alone]))]
+        if seen is not None and alike_too:
+            alone = alone[_hit(seen, _alone(hashes[alone]))]
+        if just_keys:
+            if alike_too:
+                yield _alone(hashes[alone])
+        elif len(alone):
             own = row[alone]
             s0, s1 = _bits((hashes >> np.uint64(9) & np.uint64(BITS - 1)).astype(np.int64), row, len(n))
-            yield out(ws.mix(hashes[alone] + np.uint64(1)), own, budget.whole(n)[own], 0, np.full(len(own), -1), True, at[alone], (s0[own], s1[own]))
+            yield out(_alone(hashes[alone]), own, budget.whole(n)[own], 0, np.full(len(own), -1), True, at[alone], (s0[own], s1[own]))
         common = np.flatnonzero(place >= 0)
         row_c, mark_c, hash_c = row[common], mark[common], hashes[common]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ws.mix(hash_c), dtype=np.uint64)])
         band, level = kinds.kind(n, slack, budget.unit)
         for number, (a, b, m) in enumerate(kinds.pairs):
+            if just_keys and a == b and not alike_too:
+                continue
             mine, (most, lo, hi) = (a, kinds.kinds[b]) if left_side else (b, kinds.kinds[a])
             takes = (band == mine[0]) & (level == mine[1]) & (slack + most >= 0) & (n * budget.p <= hi * budget.q) & (lo * budget.p <= n * budget.q)
             own = np.flatnonzero(takes)
@@ -267,25 +323,43 @@ def _keys(order: Order, kinds: Cells, budget: Budget, left_side: bool):
             content = total[end] - total[begin]
             start = np.tile(np.arange(m), len(own))
             key = ws.mix(content + ws.mix(np.uint64((number + 1) << 32) + start.astype(np.uint64)))
+            if just_keys:
+                yield key
+                continue
+            kept = np.arange(len(key)) if seen is None or (a == b and not alike_too) else np.flatnonzero(_hit(seen, key))
+            if not len(kept):
+                continue
             wide = max(1, BITS // m)
             bit = box * wide + (hash_c[inside] >> np.uint64(9)).astype(np.int64) % wide if m <= BITS else box * BITS // m
-            s0, s1 = (np.repeat(x, m) for x in _bits(bit, index[row_c[inside]], len(own)))
+            s0, s1 = (x[kept // m] for x in _bits(bit, index[row_c[inside]], len(own)))
             if m <= BITS:
                 # so that the box of the key is the lowest
-                s0, s1 = turned(s0, s1, start * wide, wide * m)
-            repeated = np.repeat(own, m)
-            where = np.minimum(begin, np.searchsorted(row_c, repeated, "right")) - np.searchsorted(row_c, repeated) + rare[repeated]
-            yield out(key, repeated, slack[repeated], m, start, a == b, where, (s0, s1))
+                s0, s1 = turned(s0, s1, start[kept] * wide, wide * m)
+            repeated = own[kept // m]
+            where = np.minimum(begin[kept], np.searchsorted(row_c, repeated, "right")) - np.searchsorted(row_c, repeated) + rare[repeated]
+            yield out(key[kept], repeated, slack[repeated], m, start[kept], a == b, where, (s0, s1))
+
+    def pieces(whole):
+        for begin in range(0, whole.num_rows, 2048):
+            yield from rows(whole.slice(begin, 2048))
 
     def run(batches):
         for whole in batches:
-            for begin in range(0, whole.num_rows, 2048):
-                yield from rows(whole.slice(begin, 2048))
+            yield from pieces(whole)
 
-    return run
+    return pieces if just_keys else run
+
+
+def key_map(sets: DataFrame, id_col: str, words: str, order: Order, kinds: Cells, budget: Budget, left: bool, alike_too: bool) -> np.ndarray:
+    """The map of one side's keys; without ``alike_too`` only of those between two kinds of sets.
+
+    The other side need not show the keys that aren't in it.
+    """
+    keys = _keys(order, kinds, budget, left, None, alike_too, True)
+    return _key_map(sets.select(F.col(id_col).cast("long"), words).mapInArrow(_map_rows(keys), "at long, bits long"))
 
 
-def key_rows(sets: DataFrame, id_col: str, words: str, order: Order, kinds: Cells, budget: Budget, left: bool) -> DataFrame:
+def key_rows(sets: DataFrame, id_col: str, words: str, order: Order, kinds: Cells, budget: Budget, left: bool, seen: np.ndarray | None = None, alike_too: bool = False) -> DataFrame:
     """Rows (key, id, n, slack, boxes, start, alike, at, s0, s1): the keys by which sets within the budget meet, for the left or the right side of a join.
 
     A rare word is a box of its own: two sets that share one meet at it, and a
@@ -298,9 +372,10 @@ def key_rows(sets: DataFrame, id_col: str, words: str, order: Order, kinds: Cell
     first kind, the right side those of the second (``alike`` if it is the same
     kind, so that a pair meets in both ways). ``at`` is the place at which the
     box begins, the sketch s0, s1 has the words of the set (for a box: its
-    frequent words, from this box on) as bits.
+    frequent words, from this box on) as bits. Rare words in one row only, and
+    keys that are not in the map ``seen`` of the other side, are left out.
     """
-    return sets.select(F.col(id_col).cast("long"), words).mapInArrow(_keys(order, kinds, budget, left), KEY_ROW)
+    return sets.select(F.col(id_col).cast("long"), words).mapInArrow(_keys(order, kinds, budget, left, seen, alike_too, False), KEY_ROW)
 
 
 def within(a: str, b: str, budget: Budget) -> Column:

@@ -70,9 +70,10 @@ def _check(order: bx.Order, budget: bx.Budget, tally: bool = False):
 def candidates(sets: DataFrame, threshold: float, scratch: Scratch, least: int = bx.LEAST) -> tuple[DataFrame, bx.Order, bx.Budget]:
     """(a, b, boxes, starts, wa, wb) of the pairs that meet at a box and stay in budget on the chains of their sketches."""
     budget = bx.Budget.of(threshold)
-    order = bx.word_order(sets, "words", least=least)
+    order = bx.word_order(sets, "words", scratch, least=least)
     kinds = bx.cells(sets, "words", order, budget)
-    keys = lambda left: bx.key_rows(sets, "id", "words", order, kinds, budget, left).drop("at").hint("merge")
+    seen = bx.key_map(sets, "id", "words", order, kinds, budget, False, False)
+    keys = lambda left: bx.key_rows(sets, "id", "words", order, kinds, budget, left, seen if left else None).drop("at").hint("merge")
     met = keys(True).alias("a").join(keys(False).alias("b"), bx.within("a", "b", budget) & (~F.col("a.alike") | (F.col("a.id") < F.col("b.id"))))
     a, b = F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")
     # a pair that shares a rare word needs no box of its frequent words

@@ -101,10 +101,11 @@ def segment_join(reps: DataFrame, main: str, other: str, threshold: float, scrat
     a bounded number of rows; other hot segments are split by adaptive execution.
     """
     budget = bx.Budget.of(threshold)
-    order = bx.word_order(reps, main, least=least)
+    order = bx.word_order(reps, main, scratch, least=least)
     kinds = bx.cells(reps, main, order, budget, both_ways=True)
     held = bx.key_rows(reps.where("held"), "id", main, order, kinds, budget, True).alias("a")
-    train = bx.key_rows(reps.where("train"), "id", main, order, kinds, budget, False).hint("merge").alias("b")
+    seen = bx.key_map(reps.where("held"), "id", main, order, kinds, budget, True, True)
+    train = bx.key_rows(reps.where("train"), "id", main, order, kinds, budget, False, seen, True).hint("merge").alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     shift = F.abs(a("at") - b("at")) + F.abs((a("n") - a("at")) - (b("n") - b("at")))
     allowed = shift * budget.unit <= budget.whole(a("n") + b("n"))

@@ -98,9 +98,9 @@ def test_turned_rings():
 
 def test_few_words_are_frequent(spark):
     sets = [(k, {k % 7, 100 + k % 50, 1000 + k}) for k in range(400)]
-    order = bx.word_order(sets_frame(spark, sets), "words")
+    order = bx.word_order(sets_frame(spark, sets), "words", Scratch(spark, "t"))
     assert order.limit == bx.LEAST and len(order.known) == 7
-    assert bx.word_order(sets_frame(spark, sets), "words", frequent=16).limit == 75 and sorted(order.place) == list(range(7))
+    assert bx.word_order(sets_frame(spark, sets), "words", Scratch(spark, "t"), frequent=16).limit == 75 and sorted(order.place) == list(range(7))
 
 
 def test_banded_distance():
