@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Utilities and builtins that make up a command's shape.
-UTILITIES = "awk basename cat comm cut diff dirname du echo find grep head join ls paste sed sort tail tr uniq wc xargs".split()
+UTILITIES = [
+    "awk", "basename", "cat", "comm", "cut", "diff", "dirname", "du", "echo", "find", "grep",
+    "head", "join", "ls", "paste", "sed", "sort", "tail", "tr", "uniq", "wc", "xargs",
+]
 
 # Patterns of dangerous (any case) and of writing commands.
 DANGEROUS = r"(?i)(?:^|[;&|`(]\s*)\s*(?:sudo|su\b|shutdown|reboot|mkfs|dd\s+if=|chown\s+-R\s+/|rm\s+-[a-zA-Z]*[rf][a-zA-Z]*\s+/(?:\s|$)|:\(\)\s*\{|curl|wget|nc\b|ssh\b)"
@@ -44,6 +47,14 @@ def clean_command(c: Column) -> Column:
     return F.coalesce(F.when(F.size(code) > 0, F.get(code, F.lit(0))), F.get(lines, F.lit(0)), F.lit(""))
 
 
+def clean_command_as_given(c: Column) -> Column:
+    """``clean_command`` with two slips of earlier tools, for corpora that were cleaned by them: the rest of a fence language behind ``sh`` stays, and one leading ``#`` is a prompt mark."""
+    bare = F.regexp_replace(c, r"(?m)^[ \t]*```(?:bash|sh|shell)?|```$", "")
+    lines = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.regexp_replace(strip(x), r"^[$#>]\s+", "")), lambda x: x != "")
+    code = F.filter(lines, lambda x: ~x.startswith("#"))
+    return F.coalesce(F.when(F.size(code) > 0, F.get(code, F.lit(0))), F.get(lines, F.lit(0)), F.lit(""))
+
+
 def static_risk(c: Column) -> Column:
     """high, write or read_only, by what the command's text says."""
     return F.when(c.rlike(DANGEROUS), "high").when(c.rlike(WRITING), "write").otherwise("read_only")
@@ -85,6 +96,12 @@ def comparable_lines(c: Column) -> Column:
     return F.array_sort(F.transform(lines, lambda x: F.regexp_replace(x, r"^\./", "")))
 
 
+def output_lines(c: Column) -> Column:
+    """The lines of an output that are not blank, at every kind of line break, without a leading ./, sorted."""
+    lines = F.filter(F.split(c, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), lambda x: strip(x) != "")
+    return F.array_sort(F.transform(lines, lambda x: F.regexp_replace(x, r"^\./", "")))
+
+
 def workspace_view(files: Column, most: int) -> Column:
     """Paths in order with their content, cut after ``most`` characters."""
     cut = lambda v: F.when(F.length(v) > most, F.concat(F.left(v, F.lit(most)), F.lit("...<truncated>"))).otherwise(v)
@@ -118,3 +135,18 @@ def spread_evenly(n: Column, steps: Column) -> Column:
 def split_list(c: Column) -> Column:
     """Trimmed, non-empty parts of a comma-separated list."""
     return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def name_tag(names: Column, most: int) -> Column:
+    """Names joined by -, cut at ``most`` characters; run without any."""
+    return F.coalesce(F.nullif(F.left(F.array_join(names, "-"), F.lit(most)), F.lit("")), F.lit("run"))
+
+
+def fold_numbers(text: str, n: int) -> list[int]:
+    """The folds a user names: all of them, or a comma-separated list; ValueError for one that doesn't exist."""
+    if text.strip() == "all":
+        return list(range(n))
+    out = [int(x) for x in text.split(",") if x.strip()]
+    if any(not 0 <= x < n for x in out):
+        raise ValueError(f"folds are 0 to {n - 1}")
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import within_first
+
 
 def first_per(df: DataFrame, key: str, order: list) -> DataFrame:
     """The first row per non-null key."""
@@ -23,24 +25,33 @@ def shape_cap(n: int) -> int:
     return max(5, n // 50)
 
 
-def admission(df: DataFrame, id_col: str, request: str, shape: str, order: list, cap: int, screened: Column | None = None) -> DataFrame:
+def admission(df: DataFrame, id_col: str, request: str, shape: str, order: list, cap: int, screened: Column | None = None, anchor: Column | None = None) -> DataFrame:
     """The rows with a ``reason``: the screen's, duplicate_task_id, duplicate_request, signature_capped or ok.
 
     Gates are sets and dedup precedes the cap: a row counts as a duplicate of an
     earlier one that passed the gates before, whether or not that one is capped.
     Rows with a null id are screened out as ``missing_id``; an empty request key
-    joins nothing.
+    joins nothing. Rows that are an ``anchor`` come before all others, are not
+    capped though they count, and their requests make no other row a duplicate.
+
+    No id, request or shape is ranked in one task, however many rows it has
+    (``within_first``).
     """
-    screen = F.when(F.col(id_col).isNull(), "missing_id")
-    screen = F.coalesce(screen, screened) if screened is not None else screen
-    df = df.withColumn("reason", screen)
-    by_id = Window.partitionBy(id_col, F.col("reason").isNull()).orderBy(*order)
-    df = df.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(by_id) > 1, "duplicate_task_id")))
-    by_request = Window.partitionBy(request, F.col("reason").isNull()).orderBy(*order)
-    repeated = (F.coalesce(F.col(request), F.lit("")) != "") & (F.row_number().over(by_request) > 1)
-    df = df.withColumn("reason", F.coalesce("reason", F.when(repeated, "duplicate_request")))
-    by_shape = Window.partitionBy(shape, F.col("reason").isNull()).orderBy(*order)
-    return df.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(by_shape) > cap, "signature_capped"), F.lit("ok")))
+    reason = F.when(F.col(id_col).isNull(), "missing_id")
+    reason = F.coalesce(reason, screened) if screened is not None else reason
+    fixed = F.coalesce(anchor, F.lit(False)) if anchor is not None else F.lit(False)
+    df = df.withColumn("reason", reason).withColumn("_later", ~fixed)
+    alive = F.col("reason").isNull()
+    order = ["_later", *order]
+    df = within_first(df, F.when(alive, F.col(id_col)), order, 1, "_first")
+    df = df.withColumn("reason", F.coalesce("reason", F.when(~F.col("_first"), "duplicate_task_id"))).drop("_first")
+    # the rows that are left have an id each
+    order = order if id_col in order else [*order, id_col]
+    asked = alive & F.col("_later") & (F.col(request) != "")
+    df = within_first(df, F.when(asked, F.col(request)), order, 1, "_first", unique=True)
+    df = df.withColumn("reason", F.coalesce("reason", F.when(asked & ~F.col("_first"), "duplicate_request"))).drop("_first")
+    df = within_first(df, F.when(alive, F.coalesce(F.col(shape), F.lit(""))), order, cap, "_first", unique=True)
+    return df.withColumn("reason", F.coalesce("reason", F.when(~F.col("_first") & F.col("_later"), "signature_capped"), F.lit("ok"))).drop("_first", "_later")
 
 
 def admit_exact(df: DataFrame, id_col: str, request: str, shape: str, seq: str, cap: int) -> DataFrame:
@@ -76,10 +87,20 @@ def admit_exact(df: DataFrame, id_col: str, request: str, shape: str, seq: str,
     return slim.coalesce(1).sortWithinPartitions(seq).mapInPandas(run, f"`{seq}` {kinds[seq]}, `{id_col}` {kinds[id_col]}, reason string")
 
 
-def quota(df: DataFrame, author: str, order: list, total: int, authors: DataFrame) -> DataFrame:
-    """Rows within each author's quota: total div number of authors, the remainder going to the first authors by name."""
+def shares(authors: DataFrame, author: str, total: int) -> DataFrame:
+    """(author, quota): total div number of authors, the remainder going to the first authors by name. A row per author."""
     n = authors.select(author).distinct()
     ranked = n.withColumn("_place", F.row_number().over(Window.orderBy(author))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    share = ranked.select(author, (F.floor(F.lit(total) / F.col("_n")) + F.when(F.col("_place") <= F.lit(total) % F.col("_n"), 1).otherwise(0)).cast("long").alias("quota"))
-    w = Window.partitionBy(author).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).join(share, author).where("_rn <= quota").drop("_rn")
+    return ranked.select(author, (F.floor(F.lit(total) / F.col("_n")) + F.when(F.col("_place") <= F.lit(total) % F.col("_n"), 1).otherwise(0)).cast("long").alias("quota"))
+
+
+def quota(df: DataFrame, author: str, order: list, total: int, authors: DataFrame) -> DataFrame:
+    """Rows within each author's quota. Rows of a hot author are ranked in parts."""
+    return within_first(df.join(shares(authors, author, total), author), F.col(author), order, "quota", "_in").where("_in").drop("_in")
+
+
+def quota_with_ceiling(df: DataFrame, author: str, order: list, kept: Column, total: int, authors: DataFrame, per_quota: float, least: int) -> DataFrame:
+    """Kept rows within each author's quota, sought among the author's first attempts only: ``per_quota`` times the quota, ``least`` at least."""
+    share = shares(authors, author, total).withColumn("ceiling", F.greatest(F.floor(F.col("quota") * per_quota), F.lit(least)).cast("long"))
+    tried = within_first(df.join(share, author), F.col(author), order, "ceiling", "_in").where("_in").drop("_in")
+    return within_first(tried.where(kept), F.col(author), order, "quota", "_in").where("_in").drop("_in", "ceiling")

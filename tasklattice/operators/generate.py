@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..sources.records import DIFFICULTIES, exploded
+from ..sources.records import DIFFICULTIES, ORACLE, exploded
 
 # The procedural families in their registry's order.
 FAMILIES = ["filter_level", "count_extension", "find_extension", "csv_column", "count_matches", "top_frequency", "head_lines", "sorted_unique", "replace_in_file", "largest_file"]
@@ -23,70 +23,100 @@ def files(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", F.explode("setup_files").alias("path", "content"))
 
 
-def seeded(family: str, seed: int, variant: int, k: int):
-    """A reproducible draw as a column: a 63-bit number of (family, seed, variant, k)."""
-    return F.xxhash64(F.lit(family), F.lit(seed), F.lit(variant), F.lit(k)).bitwiseAND(F.lit((1 << 63) - 1))
-
-
-@udtf(returnType="family string, variant int, path string, content string, request string, expected string, commands array<string>")
+#: Columns of a generated task.
+TASK_ROW = (
+    "family string, seed int, variant int, task_id string, setup_files map<string,string>, user_request string,"
+    f" oracle struct<{ORACLE}>, accepted_commands array<string>, allowed_side_effects array<string>"
+)
+
+
+def _drawn(*parts):
+    """A random generator of its own for these parts."""
+    import hashlib
+    import random
+
+    return random.Random(int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:16], 16))
+
+
+def _fixture(family: str, seed: int, variant: int):
+    """(files, request, kind of oracle, expected, commands) of one variant; the concept is drawn from the seed, the files from seed and variant."""
+    import hashlib
+
+    concept, r = _drawn(family, seed, "concept"), _drawn(family, seed, variant, "content")
+    level, top = concept.choice(["ERROR", "WARN", "INFO"]), concept.randint(2, 4)
+    old, new = concept.sample(["red", "green", "blue", "grey"], 2)
+    name, folder, ext = f"data{r.randint(100, 999)}.txt", f"box{r.randint(10, 99)}", concept.choice(["log", "txt", "cfg"])
+    words = [r.choice(["red", "green", "blue", "grey", "teal"]) for _ in range(r.randint(12, 30))]
+    rows = [f"{r.choice(['ERROR', 'WARN', 'INFO'])} {w} {r.randint(1, 99)}" for w in words]
+    text = lambda lines: "".join(x + "\n" for x in lines)
+    # files of the folder: different sizes, other endings mixed in, one folder deeper
+    sizes = r.sample(range(5, 400), 4)
+    tree = {f"{folder}/{'' if k % 3 else 'deep/'}f{k}.{ext if k == 1 or r.random() < 0.5 else 'csv'}": "x" * n for k, n in enumerate(sizes)}
+    flat = {f"{folder}/f{k}.{ext if r.random() < 0.6 else 'csv'}": "x" * n for k, n in enumerate(sizes)}
+    base = lambda p: p.rsplit("/", 1)[-1]
+    if family == "filter_level":
+        return {name: text(rows)}, f"Print the {level} lines of {name}.", "out", text(x for x in rows if x.startswith(level + " ")), [f"sed -n '/^{level} /p' {name}", f"awk '$1==\"{level}\"' {name}"]
+    if family == "count_matches":
+        return {name: text(rows)}, f"How many lines of {name} contain {old}?", "out", f"{sum(old in x for x in rows)}\n", [f"grep {old} {name} | wc -l", f"awk '/{old}/{{n++}} END{{print n+0}}' {name}"]
+    if family == "csv_column":
+        return {name: text(["level,word,n", *(x.replace(" ", ",") for x in rows)])}, f"Print the word column of {name} without its header.", "out", text(words), [f"tail -n +2 {name} | cut -d, -f2", f"awk -F, 'NR>1{{print $2}}' {name}"]
+    if family == "head_lines":
+        return {name: text(rows)}, f"Print the first {top} lines of {name}.", "out", text(rows[:top]), [f"head -n {top} {name}", f"sed -n '1,{top}p' {name}"]
+    if family == "sorted_unique":
+        return {name: text(words)}, f"Print the different lines of {name} in order.", "out", text(sorted(set(words))), [f"sort -u {name}", f"sort {name} | uniq"]
+    if family == "top_frequency":
+        ranked = sorted(set(words), key=lambda w: (-words.count(w), w))[:top]
+        return {name: text(words)}, f"Which {top} values are most frequent in {name}? Equals by name.", "out", text(ranked), [f"sort {name} | uniq -c | sort -k1,1nr -k2 | head -n {top} | awk '{{print $2}}'", f"awk '{{n[$0]++}} END{{for(w in n) print n[w], w}}' {name} | sort -k1,1nr -k2 | head -n {top} | cut -d' ' -f2"]
+    if family == "replace_in_file":
+        body = text(rows)
+        return {name: body}, f"Replace {old} by {new} in {name}.", "file", {name: hashlib.sha256(body.replace(old, new).encode()).hexdigest()}, [f"sed -i 's/{old}/{new}/g' {name}", f"perl -pi -e 's/{old}/{new}/g' {name}"]
+    if family == "count_extension":
+        return flat, f"How many .{ext} files are directly in {folder}?", "out", f"{sum(p.endswith('.' + ext) for p in flat)}\n", [f"find {folder} -maxdepth 1 -type f -name '*.{ext}' | wc -l", f"ls {folder} | awk '/\\.{ext}$/{{n++}} END{{print n+0}}'"]
+    if family == "find_extension":
+        return tree, f"List all .{ext} files anywhere below {folder}.", "lines", sorted(p for p in tree if p.endswith("." + ext)), [f"find {folder} -type f -name '*.{ext}'", f"find {folder} -type f | sed -n '/\\.{ext}$/p'"]
+    if family == "largest_file":
+        return flat, f"What is the name of the largest file in {folder}?", "out", base(max(flat, key=lambda p: len(flat[p]))) + "\n", [f"ls -S {folder} | head -n 1", f"find {folder} -type f -printf '%s %f\\n' | sort -k1,1nr | head -n 1 | cut -d' ' -f2"]
+    return None
+
+
+@udtf(returnType=TASK_ROW)
 class TaskGenerator:
-    """Tasks of a family for a concept seed: rows for variants 0 to count - 1, with the answer computed from the fixture."""
+    """Tasks of a family for a concept seed: variants 0 to count - 1, with files that don't matter, the oracle computed from the files, and two commands; no rows for an unknown family."""
 
     def eval(self, family: str, seed: int, count: int):
         import hashlib
-        import random
-
-        def rng(*parts):
-            return random.Random(int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:16], 16))
 
-        concept = rng(family, seed, 0)
-        level = concept.choice(["ERROR", "WARN", "INFO"])
-        top = concept.randint(2, 4)
-        old, new = concept.sample(["red", "green", "blue", "grey"], 2)
         for variant in range(count):
-            r = rng(family, seed, variant, "content")
-            name = f"data{r.randint(100, 999)}.txt"
-            words = [r.choice(["red", "green", "blue", "grey", "teal"]) for _ in range(r.randint(12, 30))]
-            rows = [f"{r.choice(['ERROR', 'WARN', 'INFO'])} {w} {r.randint(1, 99)}" for w in words]
-            body = "\n".join(rows) + "\n"
-            if family == "filter_level":
-                out = (f"Print the {level} lines of {name}.", "\n".join(x for x in rows if x.startswith(level + " ")), [f"grep '^{level} ' {name}", f"awk '$1==\"{level}\"' {name}"])
-            elif family == "count_matches":
-                out = (f"How many lines of {name} contain {old}?", str(sum(old in x for x in rows)), [f"grep -c {old} {name}", f"awk '/{old}/{{n++}} END{{print n+0}}' {name}"])
-            elif family == "csv_column":
-                body = "level,word,n\n" + "\n".join(x.replace(" ", ",") for x in rows) + "\n"
-                out = (f"Print the word column of {name} without its header.", "\n".join(words), [f"tail -n +2 {name} | cut -d, -f2", f"awk -F, 'NR>1{{print $2}}' {name}"])
-            elif family == "head_lines":
-                out = (f"Print the first {top} lines of {name}.", "\n".join(rows[:top]), [f"head -n {top} {name}", f"sed -n '1,{top}p' {name}"])
-            elif family == "sorted_unique":
-                body = "\n".join(words) + "\n"
-                out = (f"Print the different lines of {name} in order.", "\n".join(sorted(set(words))), [f"sort -u {name}", f"sort {name} | uniq"])
-            elif family == "top_frequency":
-                body = "\n".join(words) + "\n"
-                ranked = sorted(set(words), key=lambda w: (-words.count(w), w))[:top]
-                out = (f"Which {top} values are most frequent in {name}?", "\n".join(ranked), [f"sort {name} | uniq -c | sort -k1,1nr -k2 | head -n {top} | awk '{{print $2}}'", f"awk '{{n[$0]++}} END{{for(w in n) print n[w], w}}' {name} | sort -k1,1nr -k2 | head -n {top} | cut -d' ' -f2"])
-            elif family == "replace_in_file":
-                after = body.replace(old, new)
-                out = (f"Replace {old} by {new} in {name}.", hashlib.sha256(after.encode()).hexdigest(), [f"sed -i 's/{old}/{new}/g' {name}", f"perl -pi -e 's/{old}/{new}/g' {name}"])
-            elif family in ("count_extension", "find_extension", "largest_file"):
-                sizes = r.sample(range(5, 400), 6)
-                paths = [f"dir/f{k}.{r.choice(['log', 'txt'])}" for k in range(6)]
-                body = "".join(f"{p}\t{s}\n" for p, s in zip(paths, sizes, strict=True))
-                name = "MANIFEST"
-                logs = sorted(p for p in paths if p.endswith(".log"))
-                answer = {"count_extension": str(len(logs)), "find_extension": "\n".join(logs), "largest_file": paths[sizes.index(max(sizes))].split("/")[1]}[family]
-                out = (f"{family.replace('_', ' ')} below dir.", answer, ["find dir -name '*.log' -type f", "ls dir"])
-            else:
+            made = _fixture(family, seed, variant)
+            if made is None:
                 return
-            yield family, variant, name, body, *out
+            files, request, kind, expected, commands = made
+            r = _drawn(family, seed, variant, "distractors")
+            files |= {f"old{k}{r.randint(100, 999)}.bak": f"{r.choice(['keep', 'drop', 'move'])} {r.randint(1, 9)}\n" for k in range(2)}
+            oracle = (expected if kind == "out" else None, expected if kind == "lines" else None, 0, kind != "file", expected if kind == "file" else {}, [])
+            ident = hashlib.sha256(f"{family}:{seed}:{variant}:{request}".encode()).hexdigest()[:16]
+            yield family, seed, variant, ident, files, request, oracle, commands, ["stdout", "filesystem_write"] if kind == "file" else ["stdout"]
 
 
-def generate_tasks(spark: SparkSession, n_seeds: int, variants: int = 4) -> DataFrame:
-    """Rows of all families for seeds 0 to n_seeds - 1; the same call gives the same rows on any partitioning."""
+def _generated(spark: SparkSession, jobs: DataFrame) -> DataFrame:
+    """The tasks of jobs (family, seed, count)."""
     spark.udtf.register("task_generator", TaskGenerator)
-    spark.range(n_seeds).select(F.col("id").cast("int").alias("seed")).createOrReplaceTempView("_seeds")
-    exploded(spark, fam=FAMILIES).createOrReplaceTempView("_families")
-    return spark.sql(f"SELECT s.seed, g.* FROM _seeds s CROSS JOIN _families f, LATERAL task_generator(f.fam, s.seed, {int(variants)}) g")
+    jobs.createOrReplaceTempView("_generator_jobs")
+    return spark.sql("SELECT g.* FROM _generator_jobs j, LATERAL task_generator(j.family, j.seed, j.count) g")
+
+
+def generate_tasks(spark: SparkSession, n_seeds: int, variants: int = 4) -> DataFrame:
+    """Tasks of all families for seeds 0 to n_seeds - 1; the same call gives the same rows on any partitioning."""
+    families = F.explode(F.array(*[F.lit(f) for f in FAMILIES])).alias("family")
+    return _generated(spark, spark.range(n_seeds).select(families, F.col("id").cast("int").alias("seed"), F.lit(variants).alias("count")))
+
+
+def round_robin(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """Exactly ``n`` tasks, one of each family in turn and then of the next seed, so that all families are as frequent as can be."""
+    names = F.array(*[F.lit(f) for f in sorted(FAMILIES)])
+    k = len(FAMILIES)
+    turn = spark.range(n).select(F.get(names, (F.col("id") % k).cast("int")).alias("family"), (F.floor(F.col("id") / k) + seed).cast("int").alias("seed"), F.lit(1).alias("count"))
+    return _generated(spark, turn)
 
 
 def recipes(spark: SparkSession, domains: list[str], skills: list[str], utilities: list[str]) -> DataFrame:

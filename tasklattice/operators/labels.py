@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_id
+from ..functions.text import plain_id, strip
 
 # Fixed value: the system prompt of a chat row.
 SYSTEM = "You turn one request into one shell command. Answer with the command alone."
@@ -72,3 +72,33 @@ def current(candidates: DataFrame) -> DataFrame:
         F.struct("recorded_at", plain_id(F.col("task_id")).alias("task_id"), "source", "model", "command", F.col("verdict.passed").alias("passed"), F.col("verdict.postconditions_passed").alias("fraction"), F.col("verdict.forbidden_side_effect").alias("forbidden"), F.col("verdict.syntax_valid").alias("syntax_valid"), F.col("verdict.failure_category").alias("failure_category"))
     ).alias("r")
     return candidates.where("candidate_id is not null").groupBy("candidate_id").agg(held).select("candidate_id", "r.*").drop("recorded_at")
+
+
+def evidence(run: Column) -> Column:
+    """What a judge is shown of an execution: exit code, the first 800 characters of output and 400 of errors, changed files."""
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.array_join(F.coalesce(run[c], none), ",")
+    cut = lambda c, n: F.left(F.coalesce(run[c], F.lit("")), F.lit(n))
+    exit_code = F.concat(F.lit("exit "), F.coalesce(run["exit_code"].cast("string"), F.lit("none")))
+    files = F.concat(F.lit("added "), listed("files_added"), F.lit(" modified "), listed("files_modified"), F.lit(" removed "), listed("files_removed"))
+    return F.concat_ws("\n", exit_code, cut("stdout", 800), cut("stderr", 400), files)
+
+
+def candidate_fields(rows: DataFrame, key: str, parsed: str) -> DataFrame:
+    """A candidate from the fields of a parsed answer: missing ones get defaults, the command is stripped, four assumptions are kept."""
+    f = F.col(parsed)
+    assumptions = F.array_join(F.slice(F.coalesce(f["assumptions"], F.array().cast("array<string>")), 1, 4), "|")
+    return rows.select(key, F.coalesce(strip(f["command"]), F.lit("")).alias("command"), F.coalesce(f["risk"], F.lit("unknown")).alias("risk"), F.coalesce(f["requires_confirmation"], F.lit(False)).alias("requires_confirmation"), assumptions.alias("assumptions"))
+
+
+def padded(n: Column, block: int) -> Column:
+    """The next multiple of the block."""
+    return (F.ceil(n / F.lit(float(block))) * block).cast("long")
+
+
+def response_mask(n_prompt: Column, n: Column, most: int, block: int) -> Column:
+    """True at the places of the response in a sequence that is cut at ``most`` places and padded to a multiple of the block."""
+    kept = F.least(n, F.lit(most))
+    width = padded(kept, block)
+    places = F.when(width > 0, F.sequence(F.lit(0).cast("long"), width - 1)).otherwise(F.array().cast("array<long>"))
+    return F.transform(places, lambda i: (i >= n_prompt) & (i < kept))

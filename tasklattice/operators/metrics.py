@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def rate(c: Column, digits: int = 4) -> Column:
     """Share of rows for which the condition holds; null conditions count as false, no rows as 0."""
@@ -48,25 +50,17 @@ def confusion(rows: DataFrame, by: str, judged: str, actual: str) -> DataFrame:
     )
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The p-quantile of a group by nearest rank, the rank p * (n - 1) being rounded half to even; 0 if empty."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.coalesce(F.get(ordered, F.bround(F.lit(p) * (F.size(ordered) - 1)).cast("int")), F.lit(0.0))
-
-
 def nearest_rank_by(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles per group without gathering a group.
+    """Nearest-rank quantiles per group without gathering a group; the rank p * (n - 1) is rounded half to even.
 
-    Equal values are counted first; running counts over the distinct values
-    find the ranks. A group's window holds its distinct values only.
+    Equal values are counted first; running counts over the distinct values,
+    kept in range partitions, find the ranks.
     """
-    from pyspark.sql import Window
-
     cells = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(by).orderBy(value)
-    cells = cells.withColumn("_upto", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(by)))
+    upto = running(cells, by, [value], F.col("_c"), "_upto")
+    n = cells.groupBy(by).agg(F.sum("_c").alias("_n"))
     at = lambda p: F.bround(F.lit(p) * (F.col("_n") - 1)) + 1
-    return cells.groupBy(by).agg(*[F.min(F.when(F.col("_upto") >= at(p), F.col(value))).alias(name) for name, p in shares.items()])
+    return upto.join(n, by).groupBy(by).agg(*[F.min(F.when(F.col("_upto") >= at(p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def latency(rows: DataFrame, by: str, seconds: str, tokens: str) -> DataFrame:
@@ -80,6 +74,17 @@ def latency(rows: DataFrame, by: str, seconds: str, tokens: str) -> DataFrame:
     return base.join(nearest_rank_by(rows, by, seconds, {"p50": 0.5, "p95": 0.95}), by, "left")
 
 
+def evaluation_of_runs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rates of ``evaluation`` from recorded executions.
+
+    ``rows`` has passed, forbidden, syntax_valid, is_one_line, unchanged (what
+    the oracle wants) and changed (whether the first recorded execution changed
+    files): a write is unintended if the row failed, files should have stayed
+    as they were, and didn't.
+    """
+    return evaluation(rows.withColumn("wrote", F.coalesce("unchanged", F.lit(True)) & F.coalesce("changed", F.lit(False))), by)
+
+
 def author_yield(rows: DataFrame, by: str, kept: Column) -> DataFrame:
     """attempts, kept, yield and share of all kept per author."""
     each = rows.groupBy(by).agg(F.count("*").alias("attempts"), F.count_if(kept).alias("kept"))
@@ -87,3 +92,20 @@ def author_yield(rows: DataFrame, by: str, kept: Column) -> DataFrame:
     # one row
     each = each.join(F.broadcast(total))
     return each.select(by, "attempts", "kept", F.round(F.col("kept") / F.greatest("attempts", F.lit(1)), 3).alias("yield"), F.round(F.col("kept") / F.greatest("_all", F.lit(1)), 4).alias("share"))
+
+
+def listed(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """One row: the counts per key as ``key=n``, sorted and joined by commas. For keys of a report, which are few."""
+    each = rows.groupBy(key.alias("k")).agg(F.count("*").alias("n"))
+    return each.agg(F.array_join(F.array_sort(F.collect_list(F.concat("k", F.lit("="), F.col("n").cast("string")))), ",").alias(name))
+
+
+def known_counts(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """(key, n) of the rows whose key is in the dimension; others are not counted."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.join(known.select(key).distinct(), key, "left_semi")
+
+
+def percent(share: Column) -> Column:
+    """A share as a percentage with two decimals."""
+    return F.format_string("%.2f%%", share * 100)

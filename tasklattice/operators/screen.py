@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import clean_command, static_risk
 
@@ -33,11 +35,51 @@ def task_screen(files: Column, request: Column, commands: Column, syntax_ok: Col
     return first_failure(*rules)
 
 
+def require_known(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows, if all their keys are in the dimension; else ValueError with up to ten that aren't."""
+    strange = rows.select(key).distinct().join(known.select(key), key, "left_anti").limit(10).collect()
+    if strange:
+        raise ValueError(f"unknown {key}: " + ", ".join(sorted(str(r[0]) for r in strange)))
+    return rows
+
+
 def risk_class(given: Column) -> Column:
     """A known risk class, else read_only."""
     return F.when(given.isin("read_only", "local_write"), given).otherwise("read_only")
 
 
+def effects_of(given: Column) -> tuple[Column, Column]:
+    """(allowed, forbidden) side effects of a risk class."""
+    writes = F.coalesce(given == "local_write", F.lit(False))
+    array = lambda *names: F.array(*[F.lit(x) for x in names])
+    allowed = F.when(writes, array("stdout", "stderr", "filesystem_write")).otherwise(array("stdout", "stderr"))
+    return allowed, F.when(writes, array("network", "privilege_change")).otherwise(array("network", "privilege_change", "filesystem_delete"))
+
+
+def parses(command: Column) -> Column:
+    """Whether a shell reads the command without a syntax error; null and blank commands don't pass.
+
+    ``bash -n`` reads and runs nothing; one process per distinct command of an
+    Arrow batch, so apply it to distinct commands, after all other rules.
+    """
+    @pandas_udf("boolean")
+    def check(commands: pd.Series) -> pd.Series:
+        import subprocess
+        from concurrent.futures import ThreadPoolExecutor
+
+        def one(c: str | None) -> bool:
+            if not c or not c.strip():
+                return False
+            return subprocess.run(["bash", "-n"], input=c.encode("utf-8", "replace"), capture_output=True, timeout=10, check=False).returncode == 0
+
+        different = commands.dropna().unique().tolist()
+        with ThreadPoolExecutor(4) as pool:
+            known = dict(zip(different, pool.map(one, different), strict=True))
+        return commands.map(lambda c: known.get(c, False)).astype(bool)
+
+    return check(command)
+
+
 def containing(texts: DataFrame, ids: list[str], text: str, items: DataFrame, item: str, key: str) -> DataFrame:
     """(ids, item) of the texts in which an item's whole key stands, at any place, both in the form of ``text.request_key``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import admit, folds, generate, labels, metrics, screen, verify
-from ..session import table
+from ..session import Scratch, table
 from ..sources import records
 from ..streaming import stream
 
@@ -757,8 +757,6 @@ def outcome_preview(spark, d):
 
 @query("SELECT user_id, event_type, count(*) AS attempts, count(*) FILTER (value > 50) AS kept FROM events GROUP BY 1, 2")
 def running_counts(spark, d):
-    from ..session import Scratch
-
     scratch = Scratch(spark, "running")
     out = f"{scratch.root}/out"
     rows = stream.event_stream(spark, f"{d}/events.parquet").withColumn("kept", F.col("value") > 50).withColumn("author", F.struct("user_id", "event_type"))
@@ -796,14 +794,23 @@ def session_events(spark, d):
     return stream.windowed(spark, f"{d}/events.parquet", "session")
 
 
-@query()
-def stream_admission(spark, d):
-    from ..session import Scratch
+_ARRIVED = (
+    f"{_SCREENED}, arrived AS (SELECT t.task_id, t.ingested_at, s.signature, s.request_key, s.screen FROM tasks t JOIN screened s USING (task_id)),"
+    " h1 AS (SELECT *, coalesce(screen, CASE WHEN row_number() OVER (PARTITION BY task_id, screen IS NULL ORDER BY ingested_at) > 1 THEN 'duplicate_task_id' END) AS r1 FROM arrived),"
+    " h2 AS (SELECT *, coalesce(r1, CASE WHEN coalesce(request_key, '') <> '' AND row_number() OVER (PARTITION BY request_key, r1 IS NULL ORDER BY ingested_at, task_id) > 1 THEN 'duplicate_request' END) AS r2 FROM h1),"
+    " h3 AS (SELECT *, coalesce(r2, CASE WHEN row_number() OVER (PARTITION BY signature, r2 IS NULL ORDER BY ingested_at, task_id) > 20 THEN 'signature_capped' END, 'ok') AS reason FROM h2)"
+)
+
 
-    rows = _signed(spark, d).select("task_id", tx.request_key(F.col("user_request")).alias("request_key"), "signature", F.date_format("ingested_at", "yyyyMMddHHmmssSSSSSS").alias("seq"))
+@query(f"WITH {_ARRIVED} SELECT task_id, signature, reason FROM h3")
+def stream_admission(spark, d):
+    # every delivery, repeated ones included, with the shape, key and screen of its task
+    known = _screened(spark, d).select("task_id", "request_key", "signature", "screen")
+    seq = F.date_format("ingested_at", "yyyyMMddHHmmssSSSSSS").alias("seq")
+    rows = table(spark, d, "tasks").select("task_id", seq).join(known, "task_id")
     scratch = Scratch(spark, "arrivals")
     # arrivals in time order: one file per range of ingestion time
     rows.repartitionByRange(4, "seq").sortWithinPartitions("seq", "task_id").write.mode("overwrite").parquet(f"{scratch.root}/in")
-    columns = "task_id string, request_key string, signature string, seq string"
-    out = stream.admitted(spark, f"{scratch.root}/in", columns, "task_id", "request_key", "signature", ["seq", "task_id"], 20)
-    return out.select("task_id", "signature", "kept")
+    columns = "task_id string, request_key string, signature string, screen string, seq string"
+    out = stream.admitted(spark, f"{scratch.root}/in", columns, "task_id", "request_key", "signature", ["seq", "task_id"], 20, screen="screen")
+    return out.select("task_id", "signature", "reason")

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.admit import first_n_per, first_per
-from ..session import Scratch
+from ..session import Scratch, is_folder
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, so that it need not fit in the executors' heap."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def _once(writer, where: str) -> None:
@@ -14,84 +30,97 @@ def _once(writer, where: str) -> None:
     query.awaitTermination()
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The events as a stream with an event-time column and a watermark."""
+def event_stream(spark: SparkSession, path: str, mark: str | None = None) -> DataFrame:
+    """The events of a Parquet file or folder as a stream with an event-time column and a watermark of an hour; rows of a folder ``mark`` are added."""
     schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
     folder, _, name = path.rpartition("/")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    events = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
+    if mark:
+        events = events.unionByName(spark.readStream.schema(schema).parquet(mark))
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
 
 
-def windowed(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def windowed(spark: SparkSession, path: str, kind: str, work: str | None = None, close: bool = True) -> DataFrame:
     """Counts and sums per window: ``tumbling`` (1 hour), ``sliding`` (1 hour every 30 minutes) or ``session`` (per user, 30 minutes' gap).
 
-    The stream runs until the input is read and writes its complete result, so
-    windows above the last watermark are included.
+    A window is written when the watermark has passed its end, and its state is
+    dropped: state is bounded by the hour of lateness, and rows later than that
+    are lost. With ``close`` the input is finished: a mark far in the future
+    passes the watermark over all windows. Without it, windows above the last
+    watermark stay in the state, and a later run with the same ``work`` folder
+    (output and checkpoint) goes on where this one ended. Rows without a time
+    are in no window.
     """
-    events = event_stream(spark, path)
+    work = work or Scratch(spark, f"stream-{kind}").root
+    mark = f"{work}/mark" if close else None
+    if close:
+        spark.read.parquet(path).limit(0).union(spark.range(1).select(*[(F.lit("9000-01-01 00:00:00") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in spark.read.parquet(path).schema])).write.mode("overwrite").parquet(mark)
+    events = event_stream(spark, path, mark)
     if kind == "session":
         keys = [F.session_window("ts", "30 minutes").alias("w"), F.col("user_id")]
     else:
         keys = [F.window("ts", "1 hour", *(["30 minutes"] if kind == "sliding" else [])).alias("w")]
     counts = events.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    scratch = Scratch(spark, f"stream-{kind}")
-    out = f"{scratch.root}/out"
-
-    def keep(batch: DataFrame, _id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    _once(counts.writeStream.outputMode("complete").foreachBatch(keep), f"{scratch.root}/state")
-    done = spark.read.parquet(out)
+    _once(counts.writeStream.outputMode("append").format("parquet").option("path", f"{work}/out"), f"{work}/state")
+    done = spark.read.schema(counts.schema).parquet(f"{work}/out")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     extra = ["user_id"] if kind == "session" else []
     return done.select(*extra, stamp("w.start").alias("starts"), stamp("w.end").alias("ends"), "n", "total")
 
 
-def admitted(spark: SparkSession, folder: str, columns: str, id_col: str, request: str, shape: str, order: list[str], cap: int, files_per_batch: int = 1) -> DataFrame:
-    """Rows admitted from a folder of Parquet files that arrives bit by bit.
+def _gate(rows: DataFrame, key: Column, order: list[str], n: int, reason: str) -> DataFrame:
+    """The rows of a stream with a ``reason`` for those beyond the first ``n`` of their key; the number of rows seen is the key's state."""
+    names = [f.name for f in rows.schema if f.name != "reason"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", reason string"
+
+    def run(_key, frames, state):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
+        before = state.get[0] if state.exists else 0
+        state.update((before + len(pdf),))
+        beyond = np.arange(before, before + len(pdf)) >= n
+        yield pdf[names].assign(reason=np.where(beyond, reason, None))
+
+    return rows.drop("reason").withColumn("_key", key).groupBy("_key").applyInPandasWithState(run, schema, "seen long", "append", "NoTimeout")
+
+
+def admitted(spark: SparkSession, folder: str, columns: str, id_col: str, request: str, shape: str, order: list[str], cap: int, work: str | None = None, screen: str | None = None, files_per_batch: int = 1) -> DataFrame:
+    """All rows of a folder of Parquet files that arrives bit by bit, with a ``reason``: equal to ``admit.admission`` if files arrive in order.
+
+    Three gates follow each other, by id, by request and by shape. A gate is a
+    stream with keyed state, one number per key, in RocksDB: a batch touches
+    the keys it holds and nothing else, and between gates rows go through
+    committed Parquet folders. Rows that are screened (column ``screen``) or
+    have no id pass no gate; a null or empty request key joins nothing.
 
-    Each micro-batch is deduplicated by id and request within itself and
-    against the table of what was seen (an anti join), then capped per shape by
-    what the table already holds of it. A null or empty request key joins
-    nothing, as in ``admission``. The table is the state: a batch appends
-    under its number, and a batch that is run again overwrites its own part,
-    so a restart neither loses nor repeats rows.
+    ``work`` holds all outputs and checkpoints. A run that was killed, or a run
+    after new files have come, goes on from there with the same call and
+    neither loses nor repeats rows; without it a temporary folder is used and
+    nothing can be resumed. A batch holds ``files_per_batch`` files; the rows
+    of one key in one batch are sorted together.
     """
-    scratch = Scratch(spark, "admitted")
-    seen = f"{scratch.root}/seen"
+    work = work or Scratch(spark, "admitted").root
     schema = spark.createDataFrame([], columns).schema
-    whole = spark.createDataFrame([], columns + ", kept boolean").schema
-
-    def admit(batch: DataFrame, number: int) -> None:
-        earlier = spark.read.schema(whole).parquet(*[f"{seen}/{k}" for k in range(number)]) if number else None
-        rows = first_per(batch.where(F.col(id_col).isNotNull()), id_col, order)
-        if earlier is not None:
-            rows = rows.join(earlier.select(id_col), id_col, "left_anti")
-        keyed = F.coalesce(F.col(request), F.lit("")) != ""
-        asked = first_per(rows.where(keyed), request, order)
-        if earlier is not None:
-            asked = asked.join(earlier.select(request), request, "left_anti")
-        rows = rows.where(~keyed).unionByName(asked)
-        if earlier is not None:
-            held = earlier.where("kept").groupBy(shape).agg(F.count("*").alias("_held"))
-            ranked = first_n_per(rows, shape, order, cap).join(held, shape, "left")
-        else:
-            ranked = first_n_per(rows, shape, order, cap).withColumn("_held", F.lit(0))
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.partitionBy(shape).orderBy(*order)) + F.coalesce("_held", F.lit(0))
-        kept = ranked.withColumn("kept", place <= cap).where("kept").select(id_col, "kept")
-        marked = rows.join(kept, id_col, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-        marked.select(*schema.names, "kept").write.mode("overwrite").parquet(f"{seen}/{number}")
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    base = schema.names
-
-    def run(batch: DataFrame, number: int) -> None:
-        admit(batch.select(*base), number)
-
-    _once(stream.writeStream.foreachBatch(run), f"{scratch.root}/state")
-    return spark.read.option("recursiveFileLookup", True).schema(whole).parquet(seen)
+    whole = spark.createDataFrame([], columns + ", reason string").schema
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    passed = lambda name: spark.readStream.schema(whole).parquet(f"{work}/{name}").where("reason is null")
+    refused = F.coalesce(F.when(F.col(id_col).isNull(), "missing_id"), F.col(screen)) if screen else F.when(F.col(id_col).isNull(), "missing_id")
+    asked = F.coalesce(F.col(request), F.lit("")) != ""
+
+    def write(rows: DataFrame, name: str) -> None:
+        _once(rows.writeStream.outputMode("append").format("parquet").option("path", f"{work}/{name}"), f"{work}/{name}-state")
+
+    with _state_on_disk(spark):
+        write(source().withColumn("reason", refused).where("reason is not null"), "refused")
+        write(_gate(source().withColumn("reason", refused).where("reason is null"), F.col(id_col), order, 1, "duplicate_task_id"), "ids")
+        write(_gate(passed("ids").where(asked), F.col(request), order, 1, "duplicate_request"), "requests")
+        write(_gate(passed("ids").where(~asked).unionByName(passed("requests")), F.coalesce(F.col(shape), F.lit("")), order, cap, "signature_capped"), "shapes")
+    read = lambda name: spark.read.schema(whole).parquet(f"{work}/{name}")
+    out = read("refused").unionByName(read("ids").where("reason is not null")).unionByName(read("requests").where("reason is not null"))
+    return out.unionByName(read("shapes").withColumn("reason", F.coalesce("reason", F.lit("ok"))))
 
 
 def running_counts(stream: DataFrame, author: str, kept: str) -> DataFrame:

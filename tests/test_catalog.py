@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tasklattice.plans import catalog
+from tasklattice.plans import catalog, verdicts  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -53,9 +53,24 @@ def test_no_python_in_hot_paths(spark, name):
     assert "Python" not in plan and "MapInArrow" not in plan and "Cartesian" not in plan
 
 
-def test_stream_admission_keeps_each_request_once(spark):
-    rows = catalog.QUERIES["stream_admission"](spark, DATA).collect()
-    assert len({r["task_id"] for r in rows}) == len(rows) and any(r["kept"] for r in rows)
+HOT = ["source", "fold", "event_type", "signature", "request_key"]
+
+
+@pytest.mark.parametrize("name", ["quota_per_author", "quota_with_ceiling", "stride_sample", "latency_summary", "admission"])
+def test_no_window_holds_a_hot_key(spark, name):
+    """A key is ranked whole only where its rows were cut before (a group limit); running sums are per partition."""
+    import re
+
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    for over in re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan):
+        assert not any(re.fullmatch(rf"{k}#\d+L?", over) for k in HOT), over
+
+
+def test_shares_of_the_verdicts(spark):
+    """A recorded verdict of one execution agrees with the one derived from it on the empty and the unparsed."""
+    rows = catalog.QUERIES["verify_candidates"](spark, DATA).collect()
+    assert all(r["seeds_total"] == 0 and not r["passed"] for r in rows if not r["syntax_valid"])
+    assert all(r["passed"] == (r["failure_category"] == "none") for r in rows)
 
 
 def test_expected_files_are_held_against_their_hashes(spark, tmp_path):

@@ -1,7 +1,12 @@
 """Screens, verification, admission, labels, folds, metrics on small fixtures."""
 
+import hashlib
 import json
 import os
+import random
+import shutil
+import subprocess
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +49,8 @@ def instances(spark, rows):
         ([(1.0, False, None), (0.5, False, "stdout_mismatch"), (1.0, False, None), (1.0, False, None)], False, 0.875, "stdout_mismatch"),
         ([(0.5, False, "exit_code"), (0.5, False, "stdout_mismatch")], False, 0.5, "exit_code"),
         ([(0.5, False, "stdout_mismatch"), (1.0, True, None)], False, 0.75, "forbidden_side_effect"),
+        ([(1.0, False, None), (0.0, False, None)], False, 0.5, "fixture_overfit"),
+        ([(0.0, False, None), (0.5, False, "exit_code")], False, 0.25, "unknown"),
     ],
 )
 def test_verdict(spark, rows, passed, fraction, category):
@@ -70,6 +77,9 @@ def test_oracle_checks(spark):
         (row(modified=["f"]), 2 / 3, "unexpected_filesystem_change", False),
         (row(modified=["f"], hashes={"f": "h"}, oracle=(None, None, 0, False, {"f": "h"}, ["g"])), 1.0, None, False),
         (row(hashes={"f": "other"}, oracle=(None, None, 0, False, {"f": "h"}, None)), 0.5, "wrong_file_content", False),
+        (row(hashes={"f": "h", "e": "x"}, oracle=(None, None, 0, False, {"f": "h", "g": "h"}, ["d", "e"])), 3 / 5, "wrong_file_content", False),
+        (row(stdout="b\r\n\t\n./a\u2028", oracle=(None, ["a", "b"], None, None, None, None)), 1.0, None, False),
+        (row(hashes=None, oracle=(None, None, None, False, None, None)), 0.0, None, False),
         (row(hashes={"g": "h"}, oracle=(None, None, None, False, None, ["g"])), 0.0, "file_should_be_absent", False),
         (row(effects=["network"]), 1.0, None, True),
     ]
@@ -152,9 +162,11 @@ def test_group_folds(spark, monkeypatch):
     got = folds.group_folds(df, "g", 3).collect()
     loads = [sum(r["size"] for r in got if r["fold"] == f) for f in range(3)]
     assert sorted(loads, reverse=True) == [15, 14, 14]
+    rng = random.Random(3)
+    many = spark.createDataFrame([(f"g{k:03d}",) for k in range(120) for _ in range(rng.choice([1, 1, 1, 2, 2, 5, 9]))], "g string")
+    by = [{(r["g"], r["size"], r["fold"]) for r in folds.group_folds(x, "g", 4).collect()} for x in (df, many)]
     monkeypatch.setattr(folds, "IN_ARRAY", 1)
-    heap = folds.group_folds(df, "g", 3).collect()
-    assert {(r["g"], r["fold"]) for r in heap} == {(r["g"], r["fold"]) for r in got}
+    assert by == [{(r["g"], r["size"], r["fold"]) for r in folds.group_folds(x, "g", 4).collect()} for x in (df, many)]
     two = spark.createDataFrame([("a",), ("b",)], "g string")
     assert {r["fold"] for r in folds.group_folds(two, "g", 5).collect()} == {0, 1}
     with pytest.raises(ValueError):
@@ -172,7 +184,6 @@ def test_no_leak_between_folds(spark):
 def test_nearest_rank(spark, n, p50, p95):
     df = spark.createDataFrame([("x", float(k)) for k in range(1, n + 1)], "g string, v double")
     assert tuple(metrics.nearest_rank_by(df, "g", "v", {"a": 0.5, "b": 0.95}).first())[1:] == (p50, p95)
-    assert tuple(df.agg(metrics.nearest_rank(F.col("v"), 0.5), metrics.nearest_rank(F.col("v"), 0.95)).first()) == (p50, p95)
 
 
 def test_confusion_adds_up(spark):
@@ -183,18 +194,40 @@ def test_confusion_adds_up(spark):
 
 def test_generated_tasks_are_reproducible(spark):
     a = sorted(map(str, generate.generate_tasks(spark, 2, 3).collect()))
-    b = sorted(map(str, generate.generate_tasks(spark, 2, 3).repartition(3).collect()))
+    b = sorted(map(str, generate.generate_tasks(spark, 2, 3).collect()))
     assert a == b and len(a) == 2 * 10 * 3
-    rows = generate.generate_tasks(spark, 2, 1).where("family = 'filter_level'").collect()
-    for r in rows:
-        level = r["request"].split()[2]
-        assert r["expected"] == "\n".join(x for x in r["content"].splitlines() if x.startswith(level + " "))
+    turn = generate.round_robin(spark, 23).collect()
+    assert len(turn) == 23 and sorted(Counter(r["family"] for r in turn).values()) == [2] * 7 + [3] * 3 and len({r["task_id"] for r in turn}) == 23
+
+
+@pytest.mark.skipif(not all(map(shutil.which, ("bash", "awk", "sed", "find", "perl"))), reason="no shell tools")
+def test_both_commands_of_generated_tasks_meet_the_oracle(spark, tmp_path):
+    """The commands are this library's own; they run in a folder of their own."""
+    rows = generate.generate_tasks(spark, 3, 2).collect()
+    runs = []
+    for k, r in enumerate(rows):
+        for j, command in enumerate(r["accepted_commands"]):
+            where = tmp_path / f"{k}-{j}"
+            for path, content in r["setup_files"].items():
+                (where / path).parent.mkdir(parents=True, exist_ok=True)
+                (where / path).write_text(content)
+            done = subprocess.run(["bash", "-c", command], cwd=where, capture_output=True, text=True, timeout=20, env={"PATH": os.environ["PATH"], "LC_ALL": "C"})
+            changed = [p for p, c in r["setup_files"].items() if (where / p).read_text() != c]
+            hashes = {p: hashlib.sha256((where / p).read_bytes()).hexdigest() for p in r["setup_files"]}
+            runs.append((r["task_id"], j, done.stdout, done.returncode, False, [], [], changed, [], [], hashes, tuple(r["oracle"])))
+    df = spark.createDataFrame(runs, "task_id string, position int, " + EXECUTION)
+    verdicts = verify.reduce_verdicts(verify.checked(df), ["task_id", "position"], "position")
+    bad = [r for r in verify.valid_tasks(verdicts).collect() if not r["valid"]]
+    assert not bad and verdicts.count() == len(rows) * 2
+    screened = generate.generate_tasks(spark, 3, 2).select(screen.task_screen(F.col("setup_files"), F.col("user_request"), F.col("accepted_commands")).alias("r"))
+    assert screened.where("r is not null").count() == 0
 
 
 def test_json_round_trip(spark, tmp_path):
     path = tmp_path / "tasks.jsonl"
     path.write_text(json.dumps({"task_id": "b", "user_request": "r", "setup_files": {"f": "x"}}) + "\n\n" + json.dumps({"task_id": "a", "risk_class": "local_write"}) + "\n")
     rows = {r["task_id"]: r for r in records.read_tasks(spark, str(path)).collect()}
+    assert rows["b"]["setup_dirs"] == [] and rows["b"]["oracle"]["absent_files"] == [] and rows["b"]["oracle"]["filesystem_unchanged"] and rows["a"]["setup_files"] == {}
     assert rows["b"]["shell_profile"] == "bash" and rows["b"]["allowed_side_effects"] == ["stdout"] and rows["a"]["risk_class"] == "local_write"
     out = str(tmp_path / "out")
     records.write_jsonl(records.read_tasks(spark, str(path)), out)
@@ -229,5 +262,103 @@ def test_forms_of_admission_agree_on_empty_requests(spark, tmp_path):
     want = {"1": "ok", "2": "ok", "3": "ok", "4": "ok", "5": "ok", "6": "ok", "7": "ok", "8": "duplicate_request", "9": "duplicate_task_id"}
     assert {r["seq"]: r["reason"] for r in admit.admission(df, "id", "request", "shape", ["seq"], 9).collect()} == want
     assert {r["seq"]: r["reason"] for r in admit.admit_exact(df, "id", "request", "shape", "seq", 9).collect()} == want
-    out = stream.admitted(spark, f"{tmp_path}/in", kinds, "id", "request", "shape", ["seq"], 9).collect()
-    assert sorted((r["seq"], r["kept"]) for r in out) == [(k, True) for k in "1234567"]
+    assert {r["seq"]: r["reason"] for r in stream.admitted(spark, f"{tmp_path}/in", kinds, "id", "request", "shape", ["seq"], 9).collect()} == want
+
+
+def test_stream_goes_on_after_a_crash(spark, tmp_path):
+    """Files come bit by bit, a run loses its last commit, and the outcome is that of one admission over all rows."""
+    kinds = "id string, request string, shape string, seq string"
+    rng = random.Random(4)
+    rows = [(rng.choice([f"i{rng.randint(0, 99)}"] * 9 + [None]), rng.choice(["", None, f"r{rng.randint(0, 9)}", f"q{k}"]), rng.choice(["hot", "hot", None, f"s{k % 9}"]), f"{k:04d}") for k in range(90)]
+    (tmp_path / "in").mkdir()
+
+    def arrive(k):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], kinds).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        part = next((tmp_path / str(k)).glob("part-*.parquet"))
+        os.utime(part, (1000 + k, 1000 + k))
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+
+    run = lambda: stream.admitted(spark, f"{tmp_path}/in", kinds, "id", "request", "shape", ["seq"], 12, work=f"{tmp_path}/work")
+    arrive(0)
+    run()
+    for name in ("ids", "shapes"):
+        commits = tmp_path / "work" / f"{name}-state" / "commits"
+        last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+        (commits / str(last)).unlink()
+        (commits / f".{last}.crc").unlink(missing_ok=True)
+    arrive(1)
+    run()
+    arrive(2)
+    got = {r["seq"]: r["reason"] for r in run().collect()}
+    want = admit.admission(spark.createDataFrame(rows, kinds), "id", "request", "shape", ["seq"], 12)
+    assert got == {r["seq"]: r["reason"] for r in want.collect()} and len(got) == len(rows) and len(set(got.values())) == 5
+
+
+def test_windows_are_resumed_and_closed(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = datetime(2025, 1, 1)
+    spark.createDataFrame([(at + timedelta(minutes=20 * k), 1, float(k)) for k in range(12)], "ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/e.parquet")
+    open_ = stream.windowed(spark, f"{tmp_path}/e.parquet", "tumbling", f"{tmp_path}/open", close=False)
+    assert {r["starts"][11:13]: r["n"] for r in open_.collect()} == {"00": 3, "01": 3}
+    again = stream.windowed(spark, f"{tmp_path}/e.parquet", "tumbling", f"{tmp_path}/open", close=False)
+    assert again.count() == 2
+    closed = stream.windowed(spark, f"{tmp_path}/e.parquet", "tumbling", f"{tmp_path}/closed")
+    assert {r["starts"][11:13]: r["n"] for r in closed.collect()} == {"00": 3, "01": 3, "02": 3, "03": 3}
+
+
+def test_anchors_come_first(spark):
+    rows = [(1, "a", "r", "s", False), (2, "b", "r", "s", True), (3, "c", "r2", "s", False), (4, "d", "r2", "t", True), (5, "e", "r3", "s", True), (6, "a", "r9", "t", True)]
+    df = spark.createDataFrame(rows, "seq int, id string, request string, shape string, fixed boolean")
+    got = {r["seq"]: r["reason"] for r in admit.admission(df, "id", "request", "shape", ["seq"], 2, None, F.col("fixed")).collect()}
+    assert got == {1: "duplicate_task_id", 2: "ok", 3: "signature_capped", 4: "ok", 5: "ok", 6: "ok"}
+
+
+def test_first_within_hot_groups_and_ties(spark):
+    from tasklattice.operators import ranks
+
+    rows = [("hot", k // 2) for k in range(400)] + [("x", 1), ("x", 1), (None, 0)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(5)
+    got = ranks.within_first(df, F.col("g"), ["k"], 7, "in").where("in").collect()
+    assert Counter((r["g"], r["k"]) for r in got) == Counter([("hot", 0)] * 2 + [("hot", 1)] * 2 + [("hot", 2)] * 2 + [("hot", 3), ("x", 1), ("x", 1)])
+    named = df.withColumn("most", F.when(F.col("g") == "hot", 3).otherwise(1))
+    assert Counter(r["g"] for r in ranks.within_first(named, F.col("g"), ["k"], "most", "in").where("in").collect()) == {"hot": 3, "x": 1}
+    sums = ranks.running(df.dropDuplicates(), "g", ["k"], F.col("k").cast("long"), "upto").collect()
+    assert all(r["upto"] == r["k"] * (r["k"] + 1) // 2 for r in sums) and len(sums) == 201
+    assert ranks.within_first(df.limit(0), F.col("g"), ["k"], 1, "in").count() == 0
+
+
+def test_quota_with_ceiling(spark):
+    df = spark.createDataFrame([(a, k, k % 3 == 0) for a in "xy" for k in range(30)], "author string, k int, ok boolean")
+    got = admit.quota_with_ceiling(df, "author", ["k"], F.col("ok"), 8, df, 2.0, 8).collect()
+    assert sorted((r["author"], r["k"]) for r in got) == [(a, k) for a in "xy" for k in (0, 3, 6)]
+
+
+def test_small_helpers(spark):
+    from tasklattice.functions import text as tx
+
+    assert tx.fold_numbers("all", 3) == [0, 1, 2] and tx.fold_numbers("0, 2", 3) == [0, 2]
+    with pytest.raises(ValueError):
+        tx.fold_numbers("3", 3)
+    df = spark.createDataFrame([("a",), ("z",)], "k string")
+    with pytest.raises(ValueError, match="z"):
+        screen.require_known(df, "k", spark.createDataFrame([("a",)], "k string"))
+    assert screen.require_known(df, "k", df) is df
+    one = spark.createDataFrame([(5, 9, 20), (0, 0, 0), (12, 40, 20)], "p long, n long, x int").select(labels.response_mask(F.col("p"), F.col("n"), 20, 8).alias("m")).collect()
+    assert [(len(r["m"]), [k for k, x in enumerate(r["m"]) if x]) for r in one] == [(16, [5, 6, 7, 8]), (0, []), (24, list(range(12, 20)))]
+    given = spark.createDataFrame([("```shell\nls a\n```",), ("# list\nls",), ("$ ls",), ("",)], "c string").select(tx.clean_command_as_given(F.col("c")).alias("c")).collect()
+    assert [r["c"] for r in given] == ["ell", "list", "ls", ""]
+    parsed = spark.createDataFrame([("ls | wc",), ("ls 'a",), (None,), (" ",), ("if x; then",)], "c string").select(screen.parses(F.col("c")).alias("p")).collect()
+    assert [r["p"] for r in parsed] == [True, False, False, False, False]
+
+
+def test_sinks_share_one_computation(spark, tmp_path):
+    df = spark.range(5).withColumn("x", F.rand(3))
+    records.write_all(df, {f"{tmp_path}/a": lambda d: d.where("id < 2"), f"{tmp_path}/b": lambda d: d.groupBy().count()})
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 2 and spark.read.parquet(f"{tmp_path}/b").first()[0] == 5
+    records.write_summary(spark.range(1).withColumn("m", F.create_map(F.lit("k"), F.lit(1))), f"{tmp_path}/s")
+    assert spark.read.json(f"{tmp_path}/s").first()["m"]["k"] == 1
+    (tmp_path / "runs" / "a").mkdir(parents=True)
+    (tmp_path / "runs" / "a" / "run_meta.json").write_text(json.dumps({"student": "m", "fold": 0, "n_train_rows": 3}))
+    known = spark.createDataFrame([("m", 0), ("m", 1)], "student string, fold int")
+    assert {(r["fold"], r["state"]) for r in records.finished_runs(spark, f"{tmp_path}/runs/*/run_meta.json", known).collect()} == {(0, "done"), (1, "missing")}
