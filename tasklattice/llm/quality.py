@@ -1,58 +1,28 @@
-"""Text statistics and structural profiles of documents by Jensen-Shannon divergence."""
+"""Text statistics and structural profiles of documents by Jensen-Shannon divergence; all profiles are fitted to the collection."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklattice.session import spread
-
-#: Words of a run that is compared as one with the profiles of word order.
-RUN_WORDS = 160
-#: A unit this little nearer to a structure than to prose goes with the unit before it.
-MARGIN = 0.015
-#: Words after which an exact repetition counts, and the share of a text's words that makes it one repeated sentence.
-REPEAT, REPEATED = 8, 0.6
-#: Common words per language, the most frequent in the collection, that enter the profiles of word order; shares and languages use all.
-MOST_COMMON = 200
-
-CLASSES = ("function", "other", "digit", "space", "stop", "symbol", "foreign")
-# Shares of characters by class (in CLASSES' order: letters of
-# function words, letters of other words, digits, spaces, sentence punctuation,
-# symbols, other characters). Prose profiles by language, then the structures.
-PROFILES = {
-    "prose_en": (0.26, 0.51, 0.01, 0.18, 0.025, 0.01, 0.005),
-    "prose_de": (0.20, 0.59, 0.01, 0.155, 0.03, 0.01, 0.005),
-    "prose_fr": (0.18, 0.58, 0.01, 0.17, 0.035, 0.01, 0.015),
-    "prose_es": (0.19, 0.59, 0.01, 0.17, 0.025, 0.01, 0.005),
-    "list": (0.01, 0.80, 0.03, 0.12, 0.02, 0.02, 0.00),
-    "keywords": (0.01, 0.81, 0.00, 0.12, 0.06, 0.00, 0.00),
-    "table": (0.01, 0.44, 0.24, 0.22, 0.03, 0.06, 0.00),
-    "log": (0.01, 0.45, 0.27, 0.11, 0.07, 0.09, 0.00),
-    "key_value": (0.01, 0.64, 0.18, 0.07, 0.04, 0.06, 0.00),
-    "code": (0.02, 0.54, 0.07, 0.14, 0.09, 0.14, 0.00),
-    "checksum": (0.01, 0.38, 0.48, 0.05, 0.04, 0.04, 0.00),
-    "invented": (0.015, 0.785, 0.00, 0.17, 0.03, 0.00, 0.00),
-    "symbols": (0.00, 0.02, 0.03, 0.08, 0.17, 0.70, 0.00),
-    "broken": (0.01, 0.34, 0.01, 0.08, 0.03, 0.08, 0.45),
-}
-_NAMES = list(PROFILES)
-_TABLE = np.array([PROFILES[k] for k in _NAMES])
-_TABLE = _TABLE / _TABLE.sum(1, keepdims=True)
-_PROSE = np.array([k.startswith("prose") for k in _NAMES])
-
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:#\d+|[a-z]+);")
-_LEAD = re.compile(r"^(?:\s|>|#|[-*•]\s|\d+[.)]\s|(?:[QA]|User|Reviewer|Assistant|System):\s)+")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*", re.UNICODE)
-_NO_SYMBOL = re.compile(r"(?:[^\W_]|\s)+", re.UNICODE)
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-_STOP = set(".,;:!?'\"()…’“”«»¿¡-")
+from tasklattice.session import Scratch, spread
+
+from . import units as un
+
+#: Steps of the grid on which units' distributions are counted for fitting: 50,388 cells a language at most.
+GRID = 12
+#: Structural profiles, and rounds in which they are moved to the middle of their units.
+STRUCTURES, ROUNDS = 8, 8
+#: Common words per language, the most frequent in the collection, whose neighbourhood is counted; shares and languages use all.
+PAIRED = 200
+#: Texts read at once.
+TEXTS = 400
+
+_N = len(un.CLASSES)
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -66,325 +36,326 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (part(p) + part(q)) / 2
 
 
-#: Bounds, as powers of e, of the bins for how much oftener than by chance two common words stand together.
-BINS = np.array([-2.0, -1.0, -0.3, 0.3, 1.0, 2.0, 3.0])
-#: A pair with a smaller share of all pairs, or seen less than three times, has a bin of its own.
-RARE_PAIR = 5e-4
-#: Pairs of common words below which a run says nothing of word order.
-FEWEST_PAIRS = 3
-
-
-class Words:
-    """The common words of each language, and a unit's characters by class."""
-
-    def __init__(self, common: dict[str, list[str]], paired: dict[str, set[str]]):
-        self.index = {lang: {w: k for k, w in enumerate(words)} for lang, words in common.items()}
-        self.paired = {lang: {w: k for w, k in own.items() if w in paired.get(lang, ())} for lang, own in self.index.items()}
-
-    def language(self, words: list[str]) -> str:
-        if not self.index:
-            return ""
-        return max(sorted(self.index), key=lambda lang: sum(w in self.index[lang] for w in words))
-
-    def function_letters(self, words: list[str], lang: str) -> int:
-        known, function = self.index.get(lang, {}), 0
-        for w in words:
-            if w in known:
-                function += len(w)
-            elif 0 < (cut := max(w.find("'"), w.find("’"))) < 3:
-                # an elided article or pronoun before another word
-                function += cut + (len(w) - cut - 1 if w[cut + 1 :] in known else 0)
-        return function
-
-    def pairs(self, words: list[str], lang: str) -> Counter:
-        """Neighbouring common words, of those that are paired."""
-        known = self.paired.get(lang, {})
-        code = [known.get(w, -1) for w in words]
-        return Counter((lang, a, b) for a, b in zip(code, code[1:], strict=False) if a >= 0 and b >= 0)
-
-
-def units(text: str) -> list[str]:
-    """Lines without markup, long ones cut at sentence ends and then every 48 words."""
-    out = []
-    for line in _TAG.sub(" ", text).splitlines():
-        line = _LEAD.sub("", line).strip()
-        for part in _SENTENCE.split(line) if len(line) > 160 else [line]:
-            if len(part) <= 600:
-                if part:
-                    out.append(part)
-                continue
-            bits = part.split(" ")
-            for k in range(0, len(bits), 48):
-                piece = " ".join(bits[k : k + 48])
-                out += [piece[i : i + 2000] for i in range(0, len(piece), 2000)]
-    return [u for u in out if u]
-
-
-def _kind(ch: str) -> int:
-    """Class of a character: letters 0, accented Latin letters 1, digits 2, spaces 3, stops 4, symbols 5, other Latin-range 6, others 7."""
-    if ch.isspace():
-        return 3
-    if ch in _STOP:
-        return 4
-    if ch < "\x80":
-        return 0 if ch.isalpha() else 2 if ch.isdigit() else 5
-    if ch < "ɐ":
-        return 1 if ch.isalpha() else 6
-    return 7
-
-
-_KINDS = np.array([_kind(chr(c)) for c in range(0x250)], np.int64)
-_FAR_SPACES = np.array([c for c in range(0x250, 0x3001) if chr(c).isspace()], np.uint32)
-_FAR_STOPS = np.array(sorted(ord(c) for c in _STOP if ord(c) >= 0x250), np.uint32)
-
-
-def character_classes(units: list[str], function: np.ndarray) -> np.ndarray:
-    """Shares of each unit's characters in CLASSES; ``function`` is its number of letters in function words."""
-    code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
-    kind = np.where(code < 0x250, _KINDS[np.minimum(code, 0x24F)], np.where(np.isin(code, _FAR_SPACES), 3, np.where(np.isin(code, _FAR_STOPS), 4, 7)))
-    n = np.bincount(owner * 8 + kind, minlength=len(units) * 8).reshape(-1, 8).astype(float)
-    # accented letters are ordinary within a word of plain ones; many of them are not
-    broken = n[:, 1] + n[:, 6] > 0.2 * np.maximum(1, n[:, 0] + n[:, 1])
-    letters = n[:, 0] + np.where(broken, 0, n[:, 1])
-    foreign = n[:, 7] + n[:, 6] + np.where(broken, n[:, 1] + n[:, 6], 0)
-    out = np.stack([function, np.maximum(0, letters - function), n[:, 2], n[:, 3], n[:, 4], n[:, 5], foreign], 1)
-    return out / np.maximum(out.sum(1, keepdims=True), 1.0)
-
-
-def read_units(words: Words, texts: list) -> list[list[tuple]]:
-    """Per text its units as (unit, language, words, divergences from the profiles)."""
-    per_text = [units(t or "") for t in texts]
-    every = [u for each in per_text for u in each]
-    if not every:
-        return [[] for _ in texts]
-    found = [_WORD.findall(u.lower()) for u in every]
-    langs = [words.language(f) for f in found]
-    function = np.array([words.function_letters(f, lang) for f, lang in zip(found, langs, strict=True)], float)
-    shares = character_classes(every, function)
-    far = np.concatenate([divergence(shares[k : k + 4096, None], _TABLE[None]) for k in range(0, len(every), 4096)])
-    rows = iter(zip(every, langs, found, far, strict=True))
-    return [[next(rows) for _ in each] for each in per_text]
-
-
-def _nearest(far: np.ndarray, after_prose: bool = False) -> int:
-    """The nearest profile; after a unit of prose, prose if it is nearly as near."""
-    k = int(far.argmin())
-    if after_prose and not _PROSE[k]:
-        near = int(np.where(_PROSE, far, 9.0).argmin())
-        k = near if far[near] < far[k] + MARGIN else k
-    return k
-
-
-def _count_words(common: dict[str, list[str]]):
-    """How often each common word stands in the texts."""
-    known = {lang: set(words) for lang, words in common.items()}
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return counts / np.maximum(counts.sum(-1, keepdims=True), 1)
 
-    def run(batches):
-        total: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update((lang, w) for w in _WORD.findall((text or "").lower()) for lang in known if w in known[lang])
-        if total:
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([total[k] for k in keys])], names=["lang", "word", "n"])
 
-    return run
+def _visible(counts: np.ndarray) -> np.ndarray:
+    return counts.sum(-1) - counts[..., un.CLASSES.index("space")]
+
 
+@dataclass
+class Profiles:
+    """Distributions over CLASSES: of each language's prose, then of the structures, with their names."""
 
-def paired_words(documents: DataFrame, common: dict[str, list[str]], most: int) -> dict[str, set[str]]:
-    """Per language the ``most`` common words that stand most often in the documents, of equals the first by name; all if there are no more."""
-    long = {lang: words for lang, words in common.items() if len(words) > most}
-    out = {lang: set(words) for lang, words in common.items() if lang not in long}
-    if long:
-        counts = documents.select("text").mapInArrow(_count_words(long), "lang string, word string, n long")
-        n = {(r["lang"], r["word"]): r["n"] for r in counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()}
-        out |= {lang: set(sorted(words, key=lambda w: (-n.get((lang, w), 0), w))[:most]) for lang, words in long.items()}
+    names: list[str]
+    table: np.ndarray
+    prose: int
+
+    def nearest(self, counts: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """The nearest profile of each unit; of prose, that of the unit's language."""
+        out = np.zeros(len(counts), np.int64)
+        for begin in range(0, len(counts), 1 << 14):
+            piece = slice(begin, begin + (1 << 14))
+            far = divergence(_shares(counts[piece])[:, None], self.table[None])
+            best = far.argmin(1)
+            out[piece] = np.where(best < self.prose, language[piece], best)
+        return out
+
+
+def fit_profiles(language: np.ndarray, counts: np.ndarray, languages: list[str]) -> Profiles:
+    """Profiles from the class counts of all units, added up in cells (language, counts).
+
+    Prose has function words: Otsu's cut on their share of a unit's letters
+    tells two kinds of units apart, and a unit with more than half of the mean
+    share of the upper kind is taken for prose. Its mean is the profile of its
+    language. Structures are sought among the rest: starting points are the
+    cells farthest from all profiles so far, weighed by their characters, and
+    they move to the mean of the cells nearest to them. A structure is named by
+    the class it has most in excess of prose.
+    """
+    weight = _visible(counts).astype(float)
+    some = weight > 0
+    language, counts, weight = language[some], counts[some].astype(float), weight[some]
+    shares = _shares(counts)
+    letters = counts[:, :3].sum(1)
+    function = np.where(letters > 0, counts[:, 0] / np.maximum(letters, 1), 0.0)
+    order = np.argsort(function)
+    below = np.cumsum(weight[order])
+    mean = np.cumsum((weight * function)[order])
+    total, whole = (below[-1], mean[-1]) if len(below) else (1.0, 0.0)
+    share = np.clip(below / total, 1e-12, 1 - 1e-12)
+    between = (whole / total * share - mean / total) ** 2 / (share * (1 - share))
+    cut = function[order][between.argmax()] if len(order) else 0.0
+    # units that are all alike have no upper kind
+    upper = function > cut if (function > cut).any() else function > 0
+    cut = np.average(function[upper], weights=weight[upper]) / 2 if upper.any() else cut
+    prosaic = function > cut
+    whole_prose = counts[prosaic].sum(0) if prosaic.any() else np.ones(_N)
+    own = [counts[prosaic & (language == k)].sum(0) for k in range(max(1, len(languages)))]
+    prose = np.array([_shares(x if x.sum() else whole_prose) for x in own])
+    rest = np.flatnonzero(~prosaic)
+    found: list[np.ndarray] = []
+    far = divergence(shares[rest][:, None], prose[None]).min(1) if len(rest) else np.zeros(0)
+    for _ in range(min(STRUCTURES, len(rest))):
+        k = int((far * weight[rest]).argmax())
+        if far[k] <= 0:
+            break
+        found.append(shares[rest[k]])
+        far = np.minimum(far, divergence(shares[rest], found[-1][None]))
+    structures = np.array(found).reshape(-1, _N)
+    for _ in range(ROUNDS if len(structures) else 0):
+        near = divergence(shares[:, None], np.concatenate([prose, structures])[None]).argmin(1)
+        for k in range(len(structures)):
+            mine = near == len(prose) + k
+            if mine.any():
+                structures[k] = _shares(counts[mine].sum(0))
+    typical = _shares(whole_prose)
+    names = [f"prose_{lang}" for lang in languages] or ["prose"]
+    kinds = [un.CLASSES[int((x - typical).argmax())] for x in structures]
+    names += [f"{kind}s_{kinds[:k].count(kind) + 1}" for k, kind in enumerate(kinds)]
+    return Profiles(names, np.concatenate([prose, structures]), len(prose))
+
+
+@dataclass
+class Order:
+    """Which function words stand next to each other: per language the pairs' numbers sorted, their counts in prose and their expectation by chance."""
+
+    pairs: list[np.ndarray]
+    count: list[np.ndarray]
+    left: list[np.ndarray]
+    right: list[np.ndarray]
+    total: list[float]
+
+    def prose_like(self, language: int, pairs: np.ndarray, own: np.ndarray) -> float:
+        """How much nearer pairs (numbers and how often they stand here) are to prose than to chance, in nats a pair.
+
+        The difference of their Kullback-Leibler divergences. The text itself
+        is not counted as prose; one pair by chance is added to the counts.
+        """
+        words = len(self.left[language])
+        by_chance = np.maximum(self.left[language][pairs // words] * self.right[language][pairs % words], 1e-12)
+        known = self.pairs[language]
+        at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
+        seen = np.where(known[at] == pairs, self.count[language][at], 0.0) if len(known) else np.zeros(len(pairs))
+        chance_of_prose = (np.maximum(seen - own, 0) + by_chance) / (max(self.total[language] - own.sum(), 0) + 1)
+        return float((own * np.log(chance_of_prose / by_chance)).sum() / own.sum())
+
+
+def _fit_order(rows: list[tuple[int, int, float]], words: int, languages: int) -> Order:
+    out = Order([], [], [], [], [])
+    table = np.array(rows, np.float64).reshape(-1, 3)
+    for k in range(languages):
+        own = table[table[:, 0] == k]
+        pair, n = own[:, 1].astype(np.int64), own[:, 2]
+        order = np.argsort(pair)
+        pair, n = pair[order], n[order]
+        total = float(n.sum())
+        out.pairs.append(pair)
+        out.count.append(n)
+        out.total.append(total)
+        out.left.append(np.bincount(pair // words, n, words) / max(total, 1e-12))
+        out.right.append(np.bincount(pair % words, n, words) / max(total, 1e-12))
     return out
 
 
-def _count_pairs(common: dict[str, list[str]], paired: dict[str, set[str]]):
-    """Pairs of neighbouring words in units whose characters look like prose."""
-    words = Words(common, paired)
+_STATS = ("words", "letters", "visible", "symbols", "size", "lines", "ended", "all_words", "common", "language")
+_READ = "doc_id long, digest long, raw_visible long, " + ", ".join(f"{c} long" for c in _STATS) + ", repeated double, unit_language array<int>, unit_counts array<int>, pair_splits array<int>, pairs array<int>"
+
+
+def _read(common: dict[str, list[str]]):
+    lexicon = un.Lexicon(common)
+
+    def run(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(begin, TEXTS)
+                texts = batch.column(2).to_pylist()
+                got = un.read(texts, lexicon)
+                edge = np.searchsorted(got.text, np.arange(len(texts) + 1))
+                lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int32)))
+                # per text the ends of its units' pairs, counted from its own first pair
+                ends = got.pair_splits[1:] - np.repeat(got.pair_splits[edge[:-1]], np.diff(edge))
+                raw = np.array([len("".join(t.split())) if t else 0 for t in texts], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(raw), *(pa.array(got.stats[c]) for c in _STATS), pa.array(got.stats["repeated"]), lists(edge, got.language), lists(edge * _N, got.counts.ravel()), lists(edge, ends), lists(got.pair_splits[edge], got.pairs)],
+                    names=[c.split()[0] for c in _READ.split(", ")],
+                )
+
+    return run
 
+
+def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, language, counts) of the units of a batch of read texts."""
+    column = batch.column(batch.schema.get_field_index("unit_language"))
+    size = np.diff(column.offsets.to_numpy())
+    language = column.flatten().to_numpy().astype(np.int64)
+    counts = batch.column(batch.schema.get_field_index("unit_counts")).flatten().to_numpy().reshape(-1, _N)
+    return np.repeat(np.arange(len(size)), size), language, counts
+
+
+def _cells(batches):
+    """Units added up in cells of the grid."""
+    for batch in batches:
+        _, language, counts = _units(batch)
+        some = _visible(counts) > 0
+        language, counts = language[some], counts[some]
+        step = np.floor(_shares(counts) * GRID + 0.5).astype(np.int64)
+        code = (step * (GRID + 1) ** np.arange(_N)).sum(1) * 1024 + language
+        cell, own = np.unique(code, return_inverse=True)
+        sums = np.zeros((len(cell), _N), np.int64)
+        np.add.at(sums, own.ravel(), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array((cell % 1024).astype(np.int32)), *(pa.array(sums[:, k]) for k in range(_N))], names=["cell", "language", *(f"c{k}" for k in range(_N))])
+
+
+def _prose_pairs(profiles: Profiles, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units (text, language, visible, nearest profile) and pairs within units of prose (unit, number)."""
+    text, language, counts = _units(batch)
+    near = profiles.nearest(counts, language)
+    ends = batch.column(batch.schema.get_field_index("pair_splits")).flatten().to_numpy().astype(np.int64)
+    column = batch.column(batch.schema.get_field_index("pairs"))
+    first = column.offsets.to_numpy().astype(np.int64)
+    ends = ends + (first[:-1] - first[0])[text]
+    unit = np.searchsorted(ends, np.arange(int(first[-1] - first[0])), "right")
+    number = column.flatten().to_numpy().astype(np.int64)
+    prosaic = near[unit] < profiles.prose
+    return text, language, _visible(counts), near, unit[prosaic], number[prosaic]
+
+
+def _count_pairs(profiles: Profiles):
     def run(batches):
-        total: Counter = Counter()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                for each in read_units(words, batch.column(0).slice(begin, 200).to_pylist()):
-                    for _, lang, found, far in each:
-                        if len(found) > 3 and _PROSE[_nearest(far)]:
-                            total.update(words.pairs(found, lang))
-        if total:
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys]), pa.array([total[k] for k in keys])],
-                names=["lang", "a", "b", "n"],
-            )
+            text, language, _, _, unit, number = _prose_pairs(profiles, batch)
+            if not len(number):
+                continue
+            copies = batch.column(batch.schema.get_field_index("copies")).to_numpy()
+            code, own = np.unique(language[unit] * (1 << 40) + number, return_inverse=True)
+            n = np.bincount(own.ravel(), 1.0 / copies[text[unit]])
+            yield pa.RecordBatch.from_arrays([pa.array((code >> 40).astype(np.int32)), pa.array(code & ((1 << 40) - 1)), pa.array(n)], names=["language", "pair", "n"])
 
     return run
 
 
-def order_profiles(documents: DataFrame, common: dict[str, list[str]], paired: dict[str, set[str]]) -> tuple[dict, dict, dict]:
-    """(bins, prose, salad): each pair of common words' bin, and the shares of the bins per language as found and as chance gives them.
+_OUT = "words long, mean_word_length double, visible long, symbol_share double, lines long, ended_share double, common_share double, language string, prose_share double, profile string"
 
-    A pair's bin says how much oftener than by chance its words stand together
-    in the collection.
 
-    Counted over the units of every document that look like prose by their
-    characters. The counts, at most the square of the paired words per
-    language, reach the driver.
-    """
-    counts = documents.select("text").mapInArrow(_count_pairs(common, paired), "lang string, a long, b long, n long")
-    rows = counts.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).collect()
-    bins: dict = {}
-    prose: dict = {}
-    salad: dict = {}
-    for lang in common:
-        own = {(r["a"], r["b"]): r["n"] for r in rows if r["lang"] == lang}
-        n = sum(own.values())
-        if not n:
-            continue
-        left, right = Counter(), Counter()
-        for (a, b), k in own.items():
-            left[a] += k
-            right[b] += k
-        found, chance = np.zeros(len(BINS) + 2), np.zeros(len(BINS) + 2)
-        for a in left:
-            for b in right:
-                k, by_chance = own.get((a, b), 0), left[a] * right[b] / n
-                at = 1 + int(np.searchsorted(BINS, math.log(k / by_chance))) if k >= max(3, RARE_PAIR * n) else 0
-                bins[lang, a, b] = at
-                found[at] += k
-                chance[at] += by_chance
-        prose[lang], salad[lang] = found / found.sum(), chance / chance.sum()
-    return bins, prose, salad
-
-
-def _judge(common: dict[str, list[str]], paired: dict[str, set[str]], bins: dict, prose: dict, salad: dict):
-    words = Words(common, paired)
-    plain = {lang: set(ws) for lang, ws in common.items()}
-    ascii_word = re.compile(r"[a-z0-9]+")
-
-    def judge(text: str | None, read: list[tuple]) -> tuple:
-        text = text or ""
-        low = text.lower()
-        own = ascii_word.findall(low)
-        visible = len("".join(text.split()))
-        lines = [x for x in (y.strip() for y in text.splitlines()) if x]
-        ended = sum(x[-1] in ".!?…\"'»”" for x in lines)
-        symbols = len(_NO_SYMBOL.sub("", text))
-        lang = words.language(_WORD.findall(low))
-        all_words = _WORD.findall(low)
-        shared = sum(w in plain.get(lang, ()) for w in all_words)
-        weight: Counter = Counter()
-        run: list[tuple[str, list[str], int]] = []
-
-        def close():
-            if not run:
-                return
-            tongue: Counter = Counter()
-            for lg, found, _ in run:
-                tongue[lg] += len(found)
-            size = sum(r[2] for r in run)
-            pairs: Counter = Counter()
-            for lg, found, _ in run:
-                pairs.update(words.pairs(found, lg))
-            lg = max(sorted(tongue), key=lambda x: tongue[x])
-            seen = np.zeros(len(BINS) + 2)
-            for pair, k in pairs.items():
-                if pair[0] == lg:
-                    seen[bins.get(pair, 0)] += k
-            chance = False
-            if lg in prose and seen.sum() >= FEWEST_PAIRS:
-                to_prose, to_salad = divergence(seen / seen.sum(), np.stack([prose[lg], salad[lg]]))
-                chance = to_salad < to_prose
-            weight["salad" if chance else f"prose_{lg}"] += size
-            run.clear()
-
-        held, prosaic = 0, False
-        for unit, lg, found, far in read:
-            k = _nearest(far, prosaic)
-            prosaic = bool(_PROSE[k])
-            size = len("".join(unit.split()))
-            if _PROSE[k]:
-                run.append((lg, found, size))
-                held += len(found)
-                if held >= RUN_WORDS:
-                    close()
-                    held = 0
-            else:
-                weight[_NAMES[k]] += size
-        close()
-        total = sum(weight.values())
-        good = sum(v for k, v in weight.items() if k.startswith("prose"))
-        seen: set = set()
-        again = 0
-        for k in range(len(all_words) - REPEAT + 1):
-            shingle = tuple(all_words[k : k + REPEAT])
-            again += shingle in seen
-            seen.add(shingle)
-        if again > REPEATED * len(all_words) and len(set(all_words)) < 60:
-            weight["repeated"], good = total, 0
-        if not total:
-            name = "blank" if not visible else "symbols"
-        else:
-            name = max(sorted(weight), key=lambda x: weight[x])
-        n = len(own)
-        return (
-            n,
-            sum(map(len, own)) / n if n else None,
-            visible,
-            symbols / len(text) if text else None,
-            len(lines),
-            ended / len(lines) if lines else None,
-            shared / len(all_words) if all_words else None,
-            lang if shared else None,
-            (good / total if total else 0.0) if visible else None,
-            name,
-        )
-
-    names = ["doc_id", "words", "mean_word_length", "visible", "symbol_share", "lines", "ended_share", "common_share", "language", "prose_share", "profile"]
-    kinds = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.string()]
+def _judge(profiles: Profiles, order: Order, kept: np.ndarray, languages: list[str]):
+    names = profiles.names
 
     def run(batches):
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 200):
-                batch = whole.slice(begin, 200)
-                texts = batch.column(1).to_pylist()
-                rows = [judge(t, read) for t, read in zip(texts, read_units(words, texts), strict=True)]
-                cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
+        for batch in batches:
+            n = batch.num_rows
+            text, language, visible, near, unit, number = _prose_pairs(profiles, batch)
+            size = np.zeros((n, len(names) + 2))
+            np.add.at(size, (text, near), visible)
+            # texts whose function words stand as by chance are salad, language by language
+            words = max(1, len(kept[0]) if len(kept) else 1)
+            known = kept[language[unit], number // words] & kept[language[unit], number % words] if len(number) else np.zeros(0, bool)
+            unit, number = unit[known], number[known]
+            code = (text[unit] * len(names) + language[unit]) * (1 << 40) + number
+            pair, own = np.unique(code, return_counts=True)
+            group = pair >> 40
+            for g in np.unique(group).tolist():
+                mine = group == g
+                k, lang = divmod(g, len(names))
+                if order.prose_like(lang, pair[mine] & ((1 << 40) - 1), own[mine]) < 0:
+                    size[k, len(names)] += size[k, lang]
+                    size[k, lang] = 0
+            total = size.sum(1)
+            repeated = batch.column(batch.schema.get_field_index("repeated")).to_numpy()
+            size[:, len(names) + 1] = size[:, : profiles.prose].sum(1) * repeated
+            size[:, : profiles.prose] *= 1 - repeated[:, None]
+            good = size[:, : profiles.prose].sum(1)
+            col = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (*_STATS, "raw_visible")}
+            label = [*names, "salad", "repeated"]
+            profile = ["blank" if not v else label[k] if t else "markup" for v, t, k in zip(col["raw_visible"], total, size.argmax(1), strict=True)]
+            ratio = lambda a, b, when: pa.array(np.where(b > 0, a / np.maximum(b, 1), 0.0), pa.float64(), mask=~when)
+            tongue = [languages[k] if c and languages else None for k, c in zip(col["language"], col["common"], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(batch.schema.get_field_index("doc_id")),
+                    pa.array(col["words"]),
+                    ratio(col["letters"], col["words"], col["words"] > 0),
+                    pa.array(col["raw_visible"]),
+                    ratio(col["symbols"], col["size"], col["size"] > 0),
+                    pa.array(col["lines"]),
+                    ratio(col["ended"], col["lines"], col["lines"] > 0),
+                    ratio(col["common"], col["all_words"], col["all_words"] > 0),
+                    pa.array(tongue, pa.string()),
+                    ratio(good, total, col["raw_visible"] > 0),
+                    pa.array(profile, pa.string()),
+                ],
+                names=["doc_id", *(c.split()[0] for c in _OUT.split(", "))],
+            )
 
     return run
 
 
+def _paired(rows: DataFrame, words: int, languages: int) -> np.ndarray:
+    """Per language, which words' neighbourhood counts: the PAIRED most frequent ones in pairs, of equals the first."""
+    out = np.zeros((languages, words), bool)
+    first = rows.groupBy("language", F.floor(F.col("pair") / words).cast("int").alias("word")).agg(F.sum("n").alias("n")).toArrow()
+    lang, word, n = (first[c].to_numpy() for c in ("language", "word", "n"))
+    for k in range(languages):
+        own = np.flatnonzero(lang == k)
+        top = own[np.lexsort((word[own], -np.round(n[own], 6)))[:PAIRED]]
+        out[k, word[top]] = True
+    return out
+
+
 def quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """One row of statistics per document, with its nearest structural profile and the share of its visible characters that is prose.
 
     Words are runs of a-z and 0-9. A text is cut into units, lines or sentences
-    without markup. Each unit's distribution of characters over function words,
-    other words, digits, spaces, punctuation, symbols and other characters is
-    compared with prose profiles of four languages and with profiles of lists,
-    tables and so on; the nearest by Jensen-Shannon divergence is the unit's.
-    Units that look like prose are joined to runs and compared once more by
-    their distribution of neighbouring function words: with the prose of the
-    collection and with what chance would give, so that word salad is told from
-    sentences. A text of few different words most of which repeat eight words
-    said before is one sentence over and over, and no prose. A document's profile is the one with most of its characters.
+    without markup. Each unit's distribution of characters over letters of
+    function words, other letters, accented letters, digits, spaces,
+    punctuation, symbols and all else is compared with the profiles of prose in
+    each language of ``common_words`` and with profiles of structures; the
+    nearest by Jensen-Shannon divergence is the unit's. No profile is given:
+    all are fitted to the counts of all units of all documents
+    (``fit_profiles``). Then the neighbouring function words of a text's prose
+    are compared with those of all prose and with chance: if chance is nearer,
+    the text is word salad (each distinct text counts once). What repeats the
+    text's own words over and over, at one distance, is no prose either.
+    A document's profile is the one with most of its characters.
 
     Null and blank texts get the profile ``blank``, counts of 0 and null
-    shares. Rows are kept as they come, repeated ids included.
+    shares, texts of markup alone ``markup``. Rows are kept as they come,
+    repeated ids included. Texts are read once; what is read of them, without
+    the texts, is a table in the shared folder.
     """
+    scratch = Scratch(documents.sparkSession, "quality")
     # a table of frequent words is small by its nature
     ranked = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct()
-    held = ranked.groupBy("lang").agg(F.array_sort(F.collect_set("word")).alias("words")).collect()
-    common = {r["lang"]: list(r["words"]) for r in held}
-    rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    paired = paired_words(rows, common, MOST_COMMON)
-    bins, prose, salad = order_profiles(rows, common, paired)
-    out = "words long, mean_word_length double, visible long, symbol_share double, lines long, ended_share double, common_share double, language string, prose_share double, profile string"
-    return rows.mapInArrow(_judge(common, paired, bins, prose, salad), f"doc_id long, {out}")
+    common: dict[str, list[str]] = {}
+    for r in ranked.orderBy("lang", "word").collect():
+        common.setdefault(r["lang"], []).append(r["word"])
+    languages = sorted(common)
+    words = max(1, len({w for own in common.values() for w in own}))
+    rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text"))
+    read = scratch.write(rows.mapInArrow(_read(common), _READ), "read")
+    sums = ", ".join(f"c{k} long" for k in range(_N))
+    cells = read.select("unit_language", "unit_counts").mapInArrow(_cells, f"cell long, language int, {sums}")
+    cells = cells.groupBy("cell", "language").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(_N)]).orderBy("cell").toArrow()
+    profiles = fit_profiles(cells["language"].to_numpy(), np.stack([cells[f"c{k}"].to_numpy() for k in range(_N)], 1), languages)
+    copies = read.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    counted = read.join(copies, "digest", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    pairs = counted.select("copies", "unit_language", "unit_counts", "pair_splits", "pairs").mapInArrow(_count_pairs(profiles), "language int, pair long, n double")
+    pairs = scratch.write(pairs.groupBy("language", "pair").agg(F.sum("n").alias("n")), "pairs")
+    kept = _paired(pairs, words, max(1, len(languages)))
+    found = pairs.toArrow() if kept.all(1).all() else _bounded(pairs, kept, words).toArrow()
+    order = _fit_order(list(zip(found["language"].to_pylist(), found["pair"].to_pylist(), found["n"].to_pylist(), strict=True)), words, max(1, len(languages)))
+    return read.mapInArrow(_judge(profiles, order, kept, languages), f"doc_id long, {_OUT}")
+
+
+def _bounded(pairs: DataFrame, kept: np.ndarray, words: int) -> DataFrame:
+    """The pairs of words that are kept: PAIRED squared a language at most."""
+    spark = pairs.sparkSession
+    few = spark.createDataFrame([(int(k), int(w)) for k, w in zip(*np.nonzero(kept), strict=True)], "language int, word int")
+    split = pairs.withColumn("a", F.floor(F.col("pair") / words).cast("int")).withColumn("b", (F.col("pair") % words).cast("int"))
+    for side in ("a", "b"):
+        split = split.join(F.broadcast(few.withColumnRenamed("word", side)), ["language", side], "left_semi")
+    return split.select("language", "pair", "n")
 
 
 def counts(documents: DataFrame) -> DataFrame:

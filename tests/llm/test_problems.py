@@ -416,9 +416,61 @@ def test_divergence_bounds():
 
 def test_common_words_late_in_a_long_list_count(spark):
     short = [("en", w) for w in "the and that was of in had it any them time week".split()] + [("de", w) for w in "der die das und".split()]
-    long = short + [("en", f"aa{a}{b}") for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    long = short + [("en", f"aa{a}{b}") for a in "abcdefghijklmnop" for b in "abcdefghijklmnopqrst"]
     docs = spark.createDataFrame([(k, PROSE) for k in range(3)] + [(3, "der die das"), (4, None)], "doc_id long, text string")
     by = lambda rows: sorted(map(tuple, quality.quality(docs, spark.createDataFrame(rows, "lang string, word string")).collect()), key=str)
     assert by(long) == by(short)
-    kept = quality.paired_words(docs, {"en": sorted(w for lang, w in long if lang == "en")}, 12)
-    assert kept["en"] == {w for lang, w in short if lang == "en"}
+
+
+def test_repetition_is_told_by_its_distance(spark):
+    """One sentence or a long text over and over is no prose, however many different words it has; sentences that return now and then are."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    sentence = lambda: f"The {word()} of the {word()} was in the {word()} and it had a {word()} by the {word()}."
+    pool = [sentence() for _ in range(40)]
+    long = " ".join(sentence() for _ in range(30))
+    texts = [pool[0] + " " + pool[1], (pool[0] + "\n") * 12, (long + " ") * 5, " ".join(rng.choice(pool) for _ in range(400)), long + " " + long]
+    docs = spark.createDataFrame(list(enumerate(texts + [" ".join(rng.sample(pool, 9)) for _ in range(30)])), "doc_id long, text string")
+    common = spark.createDataFrame([("en", w) for w in "the of was in and it had a by".split()], "lang string, word string")
+    got = {r["doc_id"]: r["prose_share"] for r in quality.quality(docs, common).collect()}
+    assert [got[k] < 0.5 for k in range(5)] == [False, True, True, False, False]
+
+
+KINDS = {
+    "list": lambda w: "\n".join(f"- {w()} {w()}" for _ in range(25)),
+    "table": lambda w: "\n".join(f"{w():<15} {len(w()) * 377:>6} {w()}" for _ in range(25)),
+    "pairs": lambda w: "\n".join(f"{w()}={len(w()) * 911}" for _ in range(25)),
+    "log": lambda w: "\n".join(f"2025-01-{k + 1:02d}T10:{k:02d} INFO {w()}[{k * 131}] rc=0" for k in range(25)),
+    "code": lambda w: "\n".join(f"if ({w()} != {k}) {{ {w()}[{k}] += {w()}; }}" for k in range(25)),
+    "checksum": lambda w: "\n".join(f"{abs(hash(w())):032x}  {w()}" for _ in range(25)),
+    "keywords": lambda w: ", ".join(w() for _ in range(80)),
+    "symbols": lambda w: "#%& /?? ++* <>| ~^" * 20,
+    "broken": lambda w: "".join("ÃŸ©° ™€" + w()[:2] for _ in range(60)),
+}
+
+
+def test_kinds_of_junk_on_held_out_texts(spark):
+    """Profiles are fitted without labels; every kind must be found among prose in two languages."""
+    rng = random.Random(11)
+    common = {"en": "the of was in and it had a by that with for on not be".split(), "de": "der die das und nicht mit von zu den ein ist auf im dem war".split()}
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    follows = {lang: {w: rng.sample(own, 3) for w in own} for lang, own in common.items()}
+
+    def prose(lang):
+        out, last = [], rng.choice(common[lang])
+        for k in range(110):
+            out.append(last if k % 5 < 2 else word())
+            last = rng.choice(follows[lang][last])
+            if k % 11 == 10:
+                out[-1] += "."
+        return " ".join(out)
+
+    salad = lambda lang: " ".join(rng.choice(common[lang]) if rng.random() < 0.4 else word() for _ in range(160)) + "."
+    texts = [(prose("en"), None) for _ in range(60)] + [(prose("de"), None) for _ in range(40)]
+    texts += [(make(word), kind) for kind, make in KINDS.items() for _ in range(6)] + [(salad(lang), "salad") for lang in common for _ in range(6)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    words = spark.createDataFrame([(lang, w) for lang, own in common.items() for w in own], "lang string, word string")
+    got = {r["doc_id"]: r["prose_share"] < 0.5 for r in quality.quality(docs, words).collect()}
+    recall = {kind: np.mean([got[k] for k, (_, x) in enumerate(texts) if x == kind]) for kind in [*KINDS, "salad"]}
+    assert all(v == 1 for k, v in recall.items() if k != "salad") and recall["salad"] >= 0.9, recall
+    assert np.mean([got[k] for k, (_, x) in enumerate(texts) if x is None]) <= 0.02
