@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +14,47 @@ from tasklattice.session import Scratch
 
 from .topn import latest, normal_id
 
-#: Up to so many annotators their weights are sent to the tasks as one array; beyond it they are joined.
+#: Up to so many annotators names and weights are sent to the tasks, as arrays of some 50 bytes an annotator; beyond it they are joined.
 ANNOTATORS_SENT = 20_000
 
 
 @dataclass
 class Consensus:
-    """items: one row per item with a vote; annotators: one row per annotator; overall: one row."""
+    """items: one row per item with a vote; annotators: one row per annotator; overall: one row; rounds until the weights were stable (``converged``) or the last one allowed."""
 
     items: DataFrame
     annotators: DataFrame
     overall: DataFrame
+    rounds: int
+    converged: bool
+
+
+def _encode(votes: list[str]):
+    """Patterns with their votes as numbers: the place among the sorted ``votes``."""
+    known = pa.array(votes, pa.string())
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            codes = pc.index_in(lists.flatten(), value_set=known).cast(pa.int64())
+            offsets = lists.offsets.to_numpy()
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1), pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), codes)], names=["pattern", "copies", "votes"])
+
+    return run
+
+
+def _score(weights: np.ndarray):
+    """Patterns with the sum of their votes' weights."""
+    flat = weights.ravel()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            score = np.bincount(row, flat[lists.flatten().to_numpy()], batch.num_rows) if len(row) else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=["pattern", "copies", "votes", "score"])
+
+    return run
 
 
 def _count_votes(weights: np.ndarray):
@@ -101,7 +132,8 @@ def consensus(
     (so that an annotator who always says yes gains nothing by it), and
     smoothed. A vote's weight is the logarithm of its likelihood ratio: near
     zero for noise, below zero for a vote that tells the opposite. The first
-    round counts all votes alike.
+    round counts all votes alike. If the weights aren't stable after ``rounds``
+    the last ones hold, and ``converged`` is false.
 
     Items with the same votes are counted once with their number, so a round
     reads the distinct patterns and shuffles a few numbers per annotator.
@@ -119,9 +151,8 @@ def consensus(
     counted = votes.groupBy(F.col(pattern).alias("pattern")).agg(F.count("*").alias("copies"))
     if n_names <= annotators_sent:
         known = sorted(r[0] for r in names.collect())
-        code = F.create_map(*[F.lit(x) for j, k in enumerate(known) for x in (f"{k}=0", 2 * j, f"{k}=1", 2 * j + 1)]) if known else None
-        coded = F.transform("pattern", lambda v: code[v].cast("long")) if known else F.array().cast("array<bigint>")
-        patterns = scratch.write(counted.select(coded.alias("votes"), "copies", "pattern"), "patterns")
+        coded = counted.mapInArrow(_encode([f"{k}={v}" for k in known for v in (0, 1)]), "pattern array<string>, copies long, votes array<bigint>")
+        patterns = scratch.write(coded, "patterns")
         whos = spark.createDataFrame([(j, k) for j, k in enumerate(known)], "who long, annotator string")
     else:
         whos = scratch.write(names.select(F.xxhash64("annotator").bitwiseAND(F.lit((1 << 61) - 1)).alias("who"), "annotator"), "whos")
@@ -129,10 +160,11 @@ def consensus(
         said = said.select("pattern", "copies", F.expr("left(v, length(v) - 2)").alias("annotator"), F.expr("cast(right(v, 1) as long)").alias("said")).join(whos, "annotator")
         patterns = scratch.write(said.groupBy("pattern", "copies").agg(F.collect_list(F.col("who") * 2 + F.col("said")).alias("votes")), "patterns")
 
+    done, converged = 0, not n_names
     if n_names <= annotators_sent:
         weights = np.tile([-1.0, 1.0], (max(1, len(known)), 1))
         counts = np.zeros((len(weights), 4))
-        for _ in range(rounds if known else 0):
+        for done in range(1, 1 + rounds if known else 1):
             part = patterns.select("votes", "copies").mapInArrow(_count_votes(weights), "who long, n00 double, n01 double, n10 double, n11 double")
             got = part.groupBy("who").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")]).collect()
             counts = np.zeros((len(weights), 4))
@@ -142,15 +174,13 @@ def consensus(
             moved = np.abs(new - weights).max()
             weights = new
             if moved < tolerance:
+                converged = True
                 break
         table = spark.createDataFrame(
             [(j, *map(float, counts[j]), *map(float, weights[j])) for j in range(len(known))],
             "who long, n00 double, n01 double, n10 double, n11 double, w0 double, w1 double",
         )
-        flat = [float(x) for w in weights for x in w]
-        weight_of = F.array(*[F.lit(x) for x in flat])
-        score = F.aggregate("votes", F.lit(0.0), lambda acc, v: acc + weight_of[v.cast("int")])
-        scored = patterns.select("pattern", "votes", "copies", score.alias("score"))
+        scored = patterns.select("pattern", "copies", "votes").mapInArrow(_score(weights), "pattern array<string>, copies long, votes array<bigint>, score double")
     else:
         table = whos.select("who", *[F.lit(0.0).alias(c) for c in ("n00", "n01", "n10", "n11")], F.lit(-1.0).alias("w0"), F.lit(1.0).alias("w1"))
         for k in range(rounds):
@@ -166,7 +196,9 @@ def consensus(
             table = new
             if k > 0:
                 scratch.drop(f"weights{k - 1}")
+            done = k + 1
             if moved is None or moved < tolerance:
+                converged = True
                 break
         long = patterns.select("pattern", "copies", "votes", F.explode("votes").alias("vote")).withColumn("who", F.expr("vote div 2"))
         long = long.join(table.select("who", "w0", "w1"), "who")
@@ -205,7 +237,7 @@ def consensus(
     n = F.col("yes") + F.col("no")
     expected = F.lit(2.0) * F.col("yes") * F.col("no") / (n - 1)
     overall = rated.select(F.coalesce("items", F.lit(0)).alias("items"), n.alias("ratings"), F.when(expected > 0, 1 - F.col("seen") / expected).alias("alpha"))
-    return Consensus(items, annotators, overall)
+    return Consensus(items, annotators, overall, done, converged)
 
 
 def usable_votes(votes_map):

@@ -13,6 +13,8 @@ from . import words as ws
 
 #: Up to so many distinct seeds (8 bytes each) of evaluation texts are sent to the tasks; beyond it they are joined.
 SEEDS_SENT = 1 << 20
+#: Pairs of a document and an item that one task tiles.
+PAIRS_A_TASK = 1000
 _SEED_ROW = "id long, seed long, places long, words long"
 
 
@@ -115,25 +117,27 @@ def _reach(text: np.ndarray, test: np.ndarray, least: int) -> int:
 
 def _tile(least: int, coverage: float):
     def run(batches):
-        for batch in batches:
-            docs, items = batch.column(0), batch.column(1)
-            rows = []
-            for k in range(batch.num_rows):
-                pair = []
-                for side in (2, 3):
-                    one = batch.column(side).slice(k, 1)
-                    pair.append(ws.hashed_words(one)[1])
-                if not len(pair[1]) or _reach(pair[0], pair[1], least) / len(pair[1]) < coverage:
-                    continue
-                found = tiles(pair[0], pair[1], least)
-                if found:
-                    covered = sum(t[2] for t in found)
-                    rows.append((docs[k].as_py(), items[k].as_py(), len(pair[1]), max(t[2] for t in found), len(found), covered, covered / len(pair[1])))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows]) for k in range(7)],
-                    names=["doc_id", "item_id", "item_words", "longest", "n_tiles", "covered", "coverage"],
-                )
+        for whole in batches:
+            for batch in ws.slices(whole, 2):
+                yield from pieces(batch)
+
+    def pieces(batch):
+        (sd, docs), (si, items) = ws.hashed_words(batch.column(2)), ws.hashed_words(batch.column(3))
+        ids, tests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        rows = []
+        for k in range(batch.num_rows):
+            text, test = docs[sd[k] : sd[k + 1]], items[si[k] : si[k + 1]]
+            if not len(test) or _reach(text, test, least) / len(test) < coverage:
+                continue
+            found = tiles(text, test, least)
+            if found:
+                covered = sum(t[2] for t in found)
+                rows.append((int(ids[k]), int(tests[k]), len(test), max(t[2] for t in found), len(found), covered, covered / len(test)))
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows]) for k in range(7)],
+                names=["doc_id", "item_id", "item_words", "longest", "n_tiles", "covered", "coverage"],
+            )
 
     return run
 
@@ -160,7 +164,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 10, coverage: flo
     seeds = scratch.write(tests.mapInArrow(_seed_rows(least, None), _SEED_ROW), "seeds")
     seeds = seeds.select(F.col("id").alias("item_id"), "seed", "places", "words")
     distinct = seeds.select("seed").distinct()
-    if distinct.limit(seeds_sent + 1).count() <= seeds_sent:
+    few = distinct.limit(seeds_sent + 1).count() <= seeds_sent
+    if few:
         seeds = F.broadcast(seeds)
         sent = np.sort(distinct.toPandas()["seed"].to_numpy(np.int64).view(np.uint64))
         hits = docs.mapInArrow(_seed_rows(least, sent), _SEED_ROW)
@@ -169,8 +174,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 10, coverage: flo
     hits = hits.select(F.col("id").alias("doc_id"), "seed")
     shared = hits.join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.sum("places").alias("places"), F.min("words").alias("words"))
     pairs = scratch.write(shared.where(F.col("places") * least / F.col("words") >= coverage).select("doc_id", "item_id"), "pairs")
-    hit_docs = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
-    both = pairs.join(hit_docs, "doc_id").join(tests.distinct(), "item_id").select("doc_id", "item_id", "doc_text", "item_text")
+    # so many pairs a task, however small their texts are; rows that repeat an id are tiled each
+    spread_out = pairs.repartition(max(1, -(-pairs.count() // PAIRS_A_TASK)), "doc_id")
+    both = spread_out.join(docs, "doc_id").join(F.broadcast(tests.distinct()) if few else tests.distinct(), "item_id").select("doc_id", "item_id", "doc_text", "item_text")
     out = "doc_id long, item_id long, item_words long, longest long, n_tiles long, covered long, coverage double"
     tiled = both.mapInArrow(_tile(least, coverage), out).where(F.col("coverage") >= coverage)
     # an id with several texts has several results: the one that covers most holds

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tasklattice.session import Scratch, spread
 
-#: Items packed together; a block is what one step holds in memory (24 bytes an item).
+#: Items packed together; a step holds a block and what the one before left over (24 bytes an item).
 BLOCK = 4096
+#: Items of a bucket, on average. Buckets are packed each for itself, so sequences depend on the items and not on the cluster.
+BUCKET = 8192
 
 TOKENIZER = os.environ.get("TASKLATTICE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -23,20 +25,22 @@ _encodings: dict = {}
 
 
 def encoding(path: str):
-    """The tokenizer of a .tiktoken rank file, loaded once per Python worker."""
+    """The tokenizer of a .tiktoken rank file that the session has been given, loaded once per Python worker."""
     if path not in _encodings:
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
 
 
 def token_counts(df: DataFrame, keep: list[str], texts: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
-    """``keep`` columns and, for each text column, its number of tokens (0 for null). Whole texts are read."""
+    """``keep`` columns and, for each text column, its number of tokens (0 for null). Whole texts are read; the driver's tokenizer file goes to all executors."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
     kept = spread(df.select(*keep, *texts))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(keep)]), *(f"`{t}` bigint" for t in texts)])
 
@@ -90,58 +94,61 @@ def pack_block(need: np.ndarray, capacity: np.ndarray) -> np.ndarray:
 
 
 def _pack_stream(capacity: np.ndarray, block: int, full: float):
-    """Packs rows (item ..., tokens, segments, loss) of a partition block by block.
+    """Packs rows (bucket, item ..., tokens, segments, loss), sorted by bucket, block by block.
 
     What a block's bins below the share ``full`` hold is packed again with the
-    next block, so that only the last block of a partition leaves such bins.
+    next block of the bucket, so that only its last block leaves such bins. A
+    bin of a block counts as full if any of its limits is.
     """
 
     def run(batches):
-        from pyspark import TaskContext
+        bucket, next_bin, rest = None, 0, None
 
-        part = TaskContext.get().partitionId()
-        next_bin = 0
-        kept: list[pa.RecordBatch] = []
-
-        def pack(table: pa.Table, last: bool):
+        def close(table: pa.Table, last: bool):
+            """(packed rows with their sequence, rows to be packed again)."""
             nonlocal next_bin
             need = np.stack([table.column(c).to_numpy() for c in ("tokens", "segments", "loss")], 1).astype(np.int64)
             bins = pack_block(need, capacity)
-            held = np.bincount(bins, need[:, 0])
-            go = np.ones(len(held), bool) if last else held >= full * capacity[0]
+            held = np.zeros((bins.max() + 1, 3), np.int64)
+            np.add.at(held, bins, need)
+            go = np.ones(len(held), bool) if last else (held >= full * capacity).any(1)
             if not go.any():
                 go[:] = True
             number = np.cumsum(go) - 1 + next_bin
             next_bin += int(go.sum())
-            done = go[bins]
-            where = np.flatnonzero(done)
-            out = table.take(pa.array(where)).append_column("sequence", pa.array((np.int64(part) << 33) + number[bins[where]]))
-            return out, table.take(pa.array(np.flatnonzero(~done)))
+            done = np.flatnonzero(go[bins])
+            out = table.take(pa.array(done)).append_column("sequence", pa.array((np.int64(bucket) << 33) + number[bins[done]]))
+            return out.combine_chunks().to_batches(), table.take(pa.array(np.flatnonzero(~go[bins]))).combine_chunks()
+
+        waiting: list[pa.Table] = []
+
+        def drain(last: bool):
+            nonlocal rest, waiting
+            table = pa.concat_tables(waiting).combine_chunks() if waiting else None
+            begin, size = 0, table.num_rows if table is not None else 0
+            while size - begin >= block or (last and begin < size):
+                piece = table.slice(begin, block)
+                begin += piece.num_rows
+                piece = pa.concat_tables([rest, piece]).combine_chunks() if rest is not None and rest.num_rows else piece
+                out, rest = close(piece, last and begin >= size)
+                yield from out
+            waiting = [table.slice(begin)] if begin < size else []
+            if last and rest is not None and rest.num_rows:
+                out, rest = close(rest, True)
+                yield from out
 
-        rest, waiting = None, 0
         for batch in batches:
-            kept.append(batch)
-            waiting += batch.num_rows
-            if waiting >= block:
-                table = pa.Table.from_batches(kept)
-                table = pa.concat_tables([rest, table]) if rest is not None and len(rest) else table
-                for begin in range(0, len(table), 2 * block):
-                    piece = table.slice(begin, 2 * block).combine_chunks()
-                    if begin + 2 * block >= len(table) and len(piece) < block:
-                        rest = piece
-                        break
-                    out, rest = pack(piece, False)
-                    yield from out.combine_chunks().to_batches()
-                    if begin + 2 * block < len(table) and len(rest):
-                        out, rest = pack(rest, True)
-                        yield from out.combine_chunks().to_batches()
-                kept, waiting = [], 0
-        tail = [t for t in [rest, pa.Table.from_batches(kept) if kept else None] if t is not None and len(t)]
-        if tail:
-            table = pa.concat_tables(tail)
-            for begin in range(0, len(table), 2 * block):
-                out, _ = pack(table.slice(begin, 2 * block).combine_chunks(), True)
-                yield from out.combine_chunks().to_batches()
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if own[a] != bucket:
+                    yield from drain(True)
+                    bucket, next_bin, rest = int(own[a]), 0, None
+                waiting.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+                yield from drain(False)
+        yield from drain(True)
 
     return run
 
@@ -156,20 +163,25 @@ def pack(items: DataFrame, key: str, capacity: int, segments: int, loss: int, se
     full pieces and a rest, its loss-bearing tokens being counted from its end.
     Items without tokens get no sequence.
 
-    Items are spread by a hash, so blocks are alike and no order of the input
-    matters, and sorted within a partition, so that a task that runs again
-    gives the same bins. A block of a few thousand items is all that is held.
+    Items are spread by a hash over buckets, as many as their number asks for,
+    and sorted within them: the same items give the same sequences on any
+    cluster and in any order. A block of a few thousand items and the leftover
+    of the one before are all that is held.
     """
     if min(capacity, segments, loss) < 1:
         raise ValueError("capacity, segments and loss must be positive")
     scratch = Scratch(items.sparkSession, "pack")
     step = min(capacity, loss)
+    items = scratch.write(items.select(key, "tokens", "loss"), "items")
+    buckets = max(1, -(-items.count() // BUCKET))
     whole = (F.col("tokens") <= capacity) & (F.col("loss") <= loss)
     n = F.when(whole, 1).otherwise(F.ceil(F.col("tokens") / step)).cast("int")
     pieces = items.where(F.col("tokens") > 0).select(key, "tokens", F.least(F.coalesce("loss", F.lit(0)), "tokens").alias("all_loss"), whole.alias("whole"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
     begin = F.when(F.col("whole"), 0).otherwise(F.col("piece") * step).cast("long")
     end = F.when(F.col("whole"), F.col("tokens")).otherwise(F.least(begin + step, F.col("tokens")))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("int").alias("bucket")
     pieces = pieces.select(
+        bucket,
         key,
         "piece",
         begin.alias("first_token"),
@@ -177,10 +189,10 @@ def pack(items: DataFrame, key: str, capacity: int, segments: int, loss: int, se
         F.lit(1).cast("long").alias("segments"),
         F.greatest(F.lit(0), end - F.greatest(begin, F.col("tokens") - F.col("all_loss"))).cast("long").alias("loss"),
     )
-    pieces = pieces.repartition(F.xxhash64(F.lit(seed), key)).sortWithinPartitions(key, "piece")
+    pieces = pieces.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", key, "piece")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence long"
     placed = pieces.mapInArrow(_pack_stream(np.array([capacity, segments, loss], np.int64), BLOCK, 0.98), schema)
-    return scratch.write(placed.drop("segments"), "placed")
+    return scratch.write(placed.drop("bucket", "segments"), "placed")
 
 
 def pack_documents(documents: DataFrame, capacity: int = 2048, segments: int = 64, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -196,7 +208,7 @@ def pack_documents(documents: DataFrame, capacity: int = 2048, segments: int = 6
     return pack(items, "doc_id", capacity, segments, capacity)
 
 
-def pack_messages(sft: DataFrame, capacity: int = 2048, segments: int = 64, loss: int = 1024, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_messages(sft: DataFrame, capacity: int = 2048, segments: int = 16, loss: int = 640, tokenizer: str = TOKENIZER) -> DataFrame:
     """Sequences for instruction records: (sft_id, piece, first_token, tokens, loss, sequence); the assistant's tokens bear loss.
 
     Missing messages and contents count no tokens; an sft_id counts once, the

@@ -30,9 +30,10 @@ def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reliability of each judge, beside the chance-corrected agreement of all."""
+    """Reliability of each judge, beside the chance-corrected agreement of all and whether the weights were stable."""
     done = _consensus(spark, sf_dir)
-    return done.annotators.crossJoin(F.broadcast(done.overall.select(F.col("alpha").alias("alpha_of_all"))))
+    one = done.overall.select(F.col("alpha").alias("alpha_of_all"), F.lit(done.rounds).alias("rounds"), F.lit(done.converged).alias("converged"))
+    return done.annotators.crossJoin(F.broadcast(one))
 
 
 def p1_overall(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,7 +281,9 @@ def test_consensus_finds_labels_and_reliability(spark):
     assert len(items) == len(truth) and right > 0.92 * len(truth) and right > majority
     weight = {r["annotator"]: r["reliability"] for r in done.annotators.collect()}
     assert weight["liar"] < 0.35 and abs(weight["coin"] - 0.5) < 0.12 and weight["good1"] > 0.8 and abs(weight["yes"] - 0.5) < 0.15
+    assert done.converged and 1 < done.rounds < 60 and not cs.consensus(df, rounds=1).converged
     joined = cs.consensus(df, annotators_sent=3)
+    assert joined.converged
     a, b = ({r["item"]: (r["consensus"], round(r["score"], 3)) for r in x.items.collect()} for x in (done, joined))
     assert a == b
 
@@ -321,6 +323,34 @@ def test_pack_whole_items(spark):
         assert len(of[k]) == (1 if 0 < n <= 10 else math.ceil(n / 10))
 
 
+def test_all_limits_of_packing_bind(spark):
+    """Records of three kinds, each short of another thing, fill bins up to each of the limits; buckets make the result the same on any partitioning."""
+    rng = random.Random(6)
+    rows = [(k, *rng.choice([(rng.randint(300, 900), 5), (rng.randint(5, 20), 2), (rng.randint(60, 120), 55)])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, tokens long, loss long")
+    got = packing.pack(df, "k", 1000, 12, 260).collect()
+    used = defaultdict(lambda: np.zeros(3, int))
+    for r in got:
+        used[r["sequence"]] += [r["tokens"], 1, r["loss"]]
+    used = np.array(list(used.values()))
+    assert (used <= [1000, 12, 260]).all() and ((used >= [980, 12, 220]).sum(0) > 5).all()
+    again = packing.pack(df.repartition(7), "k", 1000, 12, 260).collect()
+    assert {(r["k"], r["sequence"]) for r in got} == {(r["k"], r["sequence"]) for r in again}
+
+
+def test_packing_goes_on_over_blocks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    monkeypatch.setattr(packing, "BUCKET", 400)
+    rng = random.Random(7)
+    rows = [(k, rng.randint(1, 90), 0) for k in range(2100)]
+    got = packing.pack(spark.createDataFrame(rows, "k long, tokens long, loss long"), "k", 100, 50, 100).collect()
+    used = Counter()
+    for r in got:
+        used[r["sequence"]] += r["tokens"]
+    assert len(got) == len(rows) and max(used.values()) <= 100 and sum(v < 98 for v in used.values()) < 0.12 * len(used)
+    assert len({s >> 33 for s in used}) == 6
+
+
 def test_pack_documents(spark):
     rows = [(1, "one two three", "x"), (2, None, "x"), (3, "", "x"), (None, "text", "x"), (4, "word " * 3000, "x"), (1, "one two three", "x")]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, tokens string"), 512).collect()
