@@ -127,19 +127,20 @@ class Order:
     right: list[np.ndarray]
     total: list[float]
 
-    def prose_like(self, language: int, pairs: np.ndarray, own: np.ndarray) -> float:
-        """How much nearer pairs (numbers and how often they stand here) are to prose than to chance, in nats a pair.
+    def prose_like(self, language: int, pairs: np.ndarray, own: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+        """Per text how much nearer its pairs (numbers and how often they stand in it) are to prose than to chance, in nats.
 
-        The difference of their Kullback-Leibler divergences. The text itself
-        is not counted as prose; one pair by chance is added to the counts.
+        The difference of their Kullback-Leibler divergences, times the pairs.
+        The text itself is not counted as prose; one pair by chance is added to
+        the counts. 0 without pairs.
         """
         words = len(self.left[language])
         by_chance = np.maximum(self.left[language][pairs // words] * self.right[language][pairs % words], 1e-12)
         known = self.pairs[language]
         at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
         seen = np.where(known[at] == pairs, self.count[language][at], 0.0) if len(known) else np.zeros(len(pairs))
-        chance_of_prose = (np.maximum(seen - own, 0) + by_chance) / (max(self.total[language] - own.sum(), 0) + 1)
-        return float((own * np.log(chance_of_prose / by_chance)).sum() / own.sum())
+        others = np.maximum(self.total[language] - np.bincount(text, own, texts), 0)[text] + 1
+        return np.bincount(text, own * np.log((np.maximum(seen - own, 0) + by_chance) / others / by_chance), texts)
 
 
 def _fit_order(rows: list[tuple[int, int, float]], words: int, languages: int) -> Order:
@@ -252,15 +253,12 @@ def _judge(profiles: Profiles, order: Order, kept: np.ndarray, languages: list[s
             words = max(1, len(kept[0]) if len(kept) else 1)
             known = kept[language[unit], number // words] & kept[language[unit], number % words] if len(number) else np.zeros(0, bool)
             unit, number = unit[known], number[known]
-            code = (text[unit] * len(names) + language[unit]) * (1 << 40) + number
-            pair, own = np.unique(code, return_counts=True)
-            group = pair >> 40
-            for g in np.unique(group).tolist():
-                mine = group == g
-                k, lang = divmod(g, len(names))
-                if order.prose_like(lang, pair[mine] & ((1 << 40) - 1), own[mine]) < 0:
-                    size[k, len(names)] += size[k, lang]
-                    size[k, lang] = 0
+            for k in range(profiles.prose):
+                mine = language[unit] == k
+                pair, own = np.unique(text[unit[mine]] * (1 << 40) + number[mine], return_counts=True)
+                salad = order.prose_like(k, pair & ((1 << 40) - 1), own.astype(float), pair >> 40, n) < 0
+                size[salad, len(names)] += size[salad, k]
+                size[salad, k] = 0
             total = size.sum(1)
             repeated = batch.column(batch.schema.get_field_index("repeated")).to_numpy()
             size[:, len(names) + 1] = size[:, : profiles.prose].sum(1) * repeated
