@@ -150,6 +150,10 @@ def _pairs(words: str, alias: str, where: str) -> str:
 
 
 _ACROSS = "AND a.side <> b.side"
+_PAIRED_FILES = (
+    f"{_pairs('req', 'pr', _ACROSS)}, {_pairs('files', 'pf', _ACROSS)}, pairs AS (SELECT CASE WHEN s.side = 0 THEN pr.ta ELSE pr.tb END AS held, CASE WHEN s.side = 0 THEN pr.tb ELSE pr.ta END AS train FROM pr JOIN pf ON pr.ta = pf.ta AND pr.tb = pf.tb JOIN s ON s.task_id = pr.ta)"
+)
+_CLASSES = "classes AS (SELECT task_id, side, min(task_id) OVER (PARTITION BY list_sort(req), list_sort(files)) AS class_id FROM s WHERE side IS NOT NULL AND len(req) > 0 AND len(files) > 0)"
 _GRAMS = "SELECT DISTINCT {i} AS i, array_to_string(list_slice(w, k, k + 9), ' ') AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - 8)) AS k FROM (SELECT {i}, " + _WORDS.replace("{c}", "text") + " AS w FROM {t} WHERE text IS NOT NULL))"
 
 SQL: dict[str, str] = {
@@ -167,6 +171,18 @@ SQL: dict[str, str] = {
         " r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY f, p DESC, candidate_id) AS k FROM v WHERE f IS NOT NULL AND p IS NOT NULL AND NOT isnan(p)) SELECT task_id, candidate_id FROM r WHERE k <= 3"
     ),
     "p4_found": f"WITH {_SETS}, {_pairs('req', 'pr', _ACROSS)}, {_pairs('files', 'pf', _ACROSS)} SELECT pr.ta AS task_id_a, pr.tb AS task_id_b FROM pr JOIN pf ON pr.ta = pf.ta AND pr.tb = pf.tb",
+    "p4_classes": f"WITH {_SETS}, {_PAIRED_FILES}, {_CLASSES}, links AS (SELECT held AS task_id, true AS held, train AS far FROM pairs UNION ALL SELECT train, false, held FROM pairs), n AS (SELECT l.task_id, count(DISTINCT c.class_id) AS n_links, count(*) AS n_tasks FROM links l JOIN classes c ON c.task_id = l.far GROUP BY 1) SELECT c.task_id, c.class_id, c.side = 0 AS held, coalesce(n_links, 0) AS n_links, coalesce(n_tasks, 0) AS n_tasks FROM classes c LEFT JOIN n USING (task_id)",
+    "p4_report": (
+        f"WITH {_SETS}, {_PAIRED_FILES}, names AS (SELECT task_id, min(CASE WHEN l IN ('train', 'training') THEN 'train' WHEN l IN ('val', 'valid', 'validation', 'dev') THEN 'validation' WHEN l IN ('test', 'testing', 'eval') THEN 'test' ELSE l END) AS split FROM (SELECT task_id, regexp_replace(lower(split), '[^a-z]+', '', 'g') AS l FROM tasks) GROUP BY 1),"
+        " f AS (SELECT task_id, min(k) AS k FROM (SELECT task_id, regexp_replace(lower(template_family), '[^\\p{L}\\p{Nd}]+', '', 'g') AS k FROM sft) WHERE k NOT IN ('', 'llmauthored', 'unknown', 'none', 'na') GROUP BY 1)"
+        " SELECT split, coalesce(k, 'none') AS template_family, count(*) AS n_pairs, count(DISTINCT held) AS n_tasks FROM pairs JOIN names ON names.task_id = held LEFT JOIN f ON f.task_id = held GROUP BY 1, 2"
+    ),
+    "p5_groups": (
+        f"WITH RECURSIVE {_SETS}, {_pairs('both_', 'pb', '')}, classes AS (SELECT task_id, min(task_id) OVER (PARTITION BY list_sort(both_)) AS class_id FROM s WHERE len(both_) > 0), e AS (SELECT ta AS a, tb AS b FROM pb UNION SELECT tb, ta FROM pb),"
+        " r(a, c) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.c = e.a), g AS (SELECT a AS task_id, min(c) AS group_id FROM r GROUP BY a),"
+        " n AS (SELECT a AS task_id, count(DISTINCT y.class_id) AS n_links FROM e JOIN classes x ON x.task_id = a JOIN classes y ON y.task_id = b WHERE x.class_id <> y.class_id GROUP BY 1)"
+        " SELECT task_id, coalesce(group_id, task_id) AS group_id, class_id, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN g USING (task_id) LEFT JOIN n USING (task_id)"
+    ),
     "p5_found": f"WITH {_SETS}, {_pairs('both_', 'pb', '')} SELECT ta AS task_id_a, tb AS task_id_b FROM pb",
     "p7_found": f"SELECT DISTINCT d.i AS doc_id, h.i AS item_id FROM ({_GRAMS.replace('{i}', 'doc_id').replace('{t}', 'documents')}) d JOIN ({_GRAMS.replace('{i}', 'item_id').replace('{t}', 'heldout_items')}) h ON d.g = h.g",
     "p8_counts": (
