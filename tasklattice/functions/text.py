@@ -67,7 +67,7 @@ def one_line(raw: Column) -> Column:
 
 def signature(command: Column, n_files: Column) -> Column:
     """Shape of a command: its utilities, sorted and joined by +, then #pipes and #files."""
-    names = F.regexp_extract_all(command, F.lit("([a-zA-Z_][a-zA-Z0-9_-]*)"), F.lit(1))
+    names = F.regexp_extract_all(command, F.lit(r"([a-zA-Z_][\p{L}\p{M}\p{Nd}_-]*)"), F.lit(1))
     known = F.array(*[F.lit(u) for u in UTILITIES])
     used = F.array_sort(F.array_intersect(F.array_distinct(names), known))
     pipes = F.length(command) - F.length(F.replace(command, F.lit("|"), F.lit("")))

@@ -40,7 +40,7 @@ _DANGER, _WRITE = tx.DANGEROUS, tx.WRITING
 _RISK = Piece("CASE WHEN regexp_matches({c}, '" + _DANGER + "') THEN 'high' WHEN regexp_matches({c}, '" + _WRITE + "') THEN 'write' ELSE 'read_only' END")
 _NAMES = "[" + ", ".join(f"'{u}'" for u in tx.UTILITIES) + "]"
 _SIG = Piece(
-    "array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all({c}, '([a-zA-Z_][a-zA-Z0-9_-]*)', 1)), lambda x: list_contains(" + _NAMES + ", x))), '+')"
+    "array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all({c}, '([a-zA-Z_][\\p{L}\\p{M}\\p{Nd}_-]*)', 1)), lambda x: list_contains(" + _NAMES + ", x))), '+')"
     " || '#' || (length({c}) - length(replace({c}, '|', '')))::VARCHAR || '#' || {n}::VARCHAR"
 )
 _PLAIN = Piece("regexp_replace(lower({c}), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')")
@@ -268,7 +268,13 @@ def admission_grown(spark, d):
     return _admitted(spark, d, admit.shape_cap(n)).select("task_id", "signature", "reason")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_SIGNED}, ordered AS (SELECT task_id, signature, nullif({_KEY.format(c='user_request')}, '') AS request_key, strftime(ingested_at, '%Y%m%d%H%M%S%f') || '-' || task_id AS seq FROM signed), numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM ordered),"
+    " walk AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS seq, NULL::VARCHAR AS task_id, NULL::VARCHAR AS reason, []::VARCHAR[] AS ids, []::VARCHAR[] AS asked, []::VARCHAR[] AS shapes UNION ALL"
+    " SELECT rn, seq, task_id, reason, CASE WHEN reason = 'ok' THEN list_append(ids, task_id) ELSE ids END, CASE WHEN reason = 'ok' AND request_key IS NOT NULL THEN list_append(asked, request_key) ELSE asked END, CASE WHEN reason = 'ok' THEN list_append(shapes, signature) ELSE shapes END"
+    " FROM (SELECT n.*, w.ids, w.asked, w.shapes, CASE WHEN list_contains(w.ids, n.task_id) THEN 'duplicate_task_id' WHEN n.request_key IS NOT NULL AND list_contains(w.asked, n.request_key) THEN 'duplicate_request' WHEN len(list_filter(w.shapes, lambda x: x = n.signature)) >= 20 THEN 'signature_capped' ELSE 'ok' END AS reason FROM walk w JOIN numbered n ON n.rn = w.rn + 1))"
+    " SELECT seq, task_id, reason FROM walk WHERE rn > 0"
+)
 def admit_exact(spark, d):
     rows = _signed(spark, d).withColumn("request_key", tx.request_key(F.col("user_request")))
     rows = rows.withColumn("seq", F.concat(F.date_format("ingested_at", "yyyyMMddHHmmssSSSSSS"), F.lit("-"), "task_id"))
