@@ -110,7 +110,7 @@ def stride_sample(df: DataFrame, by: str, order: str, most: int) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer) in the order of a seeded hash, with their place as ``index``."""
-    h = F.xxhash64(F.lit(seed), *key)
+    """Exactly ``n`` rows (all, if fewer) in the order of a seeded hash (MD5 of seed and key), with their place as ``index``."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *key))
     top = df.withColumn("_h", h).orderBy("_h", *key).limit(n)
     return top.withColumn("index", F.row_number().over(Window.orderBy("_h", *key)) - 1).drop("_h")

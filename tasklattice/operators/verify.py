@@ -127,6 +127,7 @@ def derived_oracle(baseline: Column, observed: Column) -> Column:
 def realised(a: Column, again: Column, b: Column, forbidden: Column) -> Column:
     """Reason to refuse an authored task from three recorded executions (a, a again, b), null if it stands."""
     nothing = (F.coalesce(F.length(F.trim(a["stdout"])), F.lit(0)) == 0) & (F.size(a["files_added"]) + F.size(a["files_removed"]) + F.size(a["files_modified"]) == 0)
+    # The names of the reasons.
     return first_failure(
         (a["timed_out"] | a["sandbox_error"].isNotNull(), "primary_timeout_or_sandbox_error"),
         (~a["exit_code"].eqNullSafe(F.lit(0)), "primary_nonzero_exit"),

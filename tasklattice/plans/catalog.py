@@ -296,6 +296,12 @@ def sft_rows(spark, d):
     return labels.sft_rows(once(spark, d)).select("task_id", "template_family", "position", "command")
 
 
+@query(f"WITH {_SFT} SELECT c.task_id, row_number() OVER (PARTITION BY c.task_id ORDER BY pos) - 1 AS position, 'system: {labels.SYSTEM}' || chr(10) || 'user: ' || coalesce(t.user_request, '') || chr(10) || 'assistant: ' || c AS chat FROM cmds c JOIN tasks_once t ON t.task_id = c.task_id")
+def chat_rows(spark, d):
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
+    return labels.sft_rows(once(spark, d)).select("task_id", "position", said.alias("chat"))
+
+
 @query("SELECT DISTINCT sft_id, list_count(messages) AS n_messages, (list_filter(messages, lambda m: m.role = 'assistant')[1]).content AS answer, coalesce(array_to_string(list_transform(list_filter(messages, lambda m: m.role <> 'assistant'), lambda m: coalesce(m.content, '')), chr(10)), '') AS prompt FROM sft WHERE messages IS NOT NULL")
 def messages_split(spark, d):
     rows = table(spark, d, "sft").where("messages is not null").withColumn("n_messages", F.size("messages"))
@@ -321,6 +327,15 @@ def preference_pairs(spark, d):
     return labels.preference_pairs(usable(spark, d))
 
 
+@query(f"WITH {_ONCE}, {_CURRENT}, {_USABLE}, {_NEG}, r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY length(command), candidate_id) AS rn FROM usable WHERE passed) SELECT n.task_id, n.candidate_id, t.user_request AS prompt, t.provenance.template_family AS template_family, r.command AS chosen, n.command AS rejected, CASE WHEN n.forbidden THEN 'unsafe' ELSE coalesce(n.failure_category, 'unknown') END AS reason FROM neg n JOIN r ON n.task_id = r.task_id AND r.rn = 1 JOIN tasks_once t ON t.task_id = n.task_id WHERE n.rank <= 3 AND n.command <> '' AND n.command <> r.command")
+def preference_rows(spark, d):
+    rows = usable(spark, d)
+    why = rows.select("candidate_id", F.coalesce("failure_category", F.lit("unknown")).alias("why"))
+    tasks = once(spark, d).select("task_id", F.col("user_request").alias("prompt"), F.col("provenance.template_family").alias("template_family"))
+    pairs = labels.preference_pairs(rows).join(why, "candidate_id").join(tasks, "task_id")
+    return pairs.select("task_id", "candidate_id", "prompt", "template_family", "chosen", "rejected", F.when(F.col("rejected_unsafe"), "unsafe").otherwise(F.col("why")).alias("reason"))
+
+
 @query(f"WITH {_CURRENT}, {_USABLE}, g AS (SELECT task_id, command, min(candidate_id) AS first_id FROM usable WHERE passed GROUP BY 1, 2) SELECT task_id, command, row_number() OVER (PARTITION BY task_id ORDER BY length(command), first_id) AS ordinal FROM g")
 def shortest_distinct(spark, d):
     return labels.shortest_distinct(usable(spark, d))
@@ -680,7 +695,15 @@ def recipe_space(spark, d):
     return space.groupBy("difficulty").agg(F.count("*").alias("n"), F.count_distinct("domain").alias("n_domains"))
 
 
-@query()
+def _literals(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(
+    f"WITH space AS (SELECT * FROM (SELECT unnest({_literals(records.DOMAINS)}) AS domain), (SELECT unnest({_literals(records.SKILLS)}) AS skill), (SELECT unnest({_literals(records.UTILITY_HINTS)}) AS utility), (SELECT unnest({_literals(records.DIFFICULTIES)}) AS difficulty)),"
+    " r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '7', domain, skill, utility, difficulty)), domain, skill, utility, difficulty) - 1 AS index FROM space)"
+    " SELECT *, 'Write one task about ' || domain || ' that needs ' || skill || ' with ' || utility || ' (' || difficulty || ').' AS prompt FROM r WHERE index < 200"
+)
 def recipe_sample(spark, d):
     space = generate.recipes(spark, records.DOMAINS, records.SKILLS, records.UTILITY_HINTS)
     picked = folds.hashed_sample(space, ["domain", "skill", "utility", "difficulty"], 200, 7)
@@ -690,9 +713,10 @@ def recipe_sample(spark, d):
 @query(f"WITH {_ONCE} SELECT source, hint, count(*) AS n FROM (SELECT task_id, unnest(['short', 'portable', 'no pipe']) AS hint FROM tasks_once), (SELECT DISTINCT source FROM candidates WHERE source IS NOT NULL) GROUP BY 1, 2")
 def proposal_jobs(spark, d):
     # every task is proposed to every source with every hint: counted without building the product
-    hints = once(spark, d).select(F.explode(F.array(F.lit("short"), F.lit("portable"), F.lit("no pipe"))).alias("hint")).groupBy("hint").agg(F.count("*").alias("n"))
-    sources = table(spark, d, "candidates").where("source is not null").agg(F.collect_set("source").alias("s")).select(F.explode("s").alias("source"), F.lit(1).alias("_one"))
-    return hints.withColumn("_one", F.lit(1)).join(sources, "_one").select("source", "hint", "n")
+    n = once(spark, d).agg(F.count("*").alias("n"))
+    hints = F.explode(F.array(F.lit("short"), F.lit("portable"), F.lit("no pipe"))).alias("hint")
+    # one row
+    return table(spark, d, "candidates").where("source is not null").select("source").distinct().select("source", hints).crossJoin(F.broadcast(n))
 
 
 @query()

@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import admit, folds, generate, labels, metrics, screen, verify
 from ..session import table
 from ..sources import records
-from .catalog import _CLEAN, _CURRENT, _GROUP, _LATEST, _ONCE, _PLAIN, _RISK, _SCREENED, _SIGNED, _screened, _signed, once, query
+from .catalog import _CLEAN, _CURRENT, _NEG, _USABLE, _GROUP, _LATEST, _ONCE, _PLAIN, _RISK, _SCREENED, _SIGNED, _screened, _signed, once, query, usable
 
 # executions
 
@@ -212,6 +212,23 @@ def quota_with_ceiling(spark, d):
     return admit.quota_with_ceiling(rows, "source", ["candidate_id"], F.col("passed"), 5000, authors, 1.25, 8).select("candidate_id", "source")
 
 
+@query(
+    f"WITH {_CURRENT}, {_USABLE}, {_NEG}, r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY length(command), candidate_id) AS rn FROM usable WHERE passed),"
+    " dpo AS (SELECT n.candidate_id FROM neg n JOIN r ON n.task_id = r.task_id AND r.rn = 1 WHERE n.rank <= 3 AND n.command <> '' AND n.command <> r.command), fails AS (SELECT * FROM usable WHERE NOT passed)"
+    " SELECT (SELECT count(DISTINCT task_id) FROM usable) AS n_tasks, (SELECT count(DISTINCT task_id) FROM usable WHERE passed) AS n_verified, (SELECT count(DISTINCT (task_id, command)) FROM usable WHERE passed) AS n_sft_records, (SELECT count(*) FROM dpo) AS n_dpo_pairs,"
+    f" {_LISTED.format(k=chr(99) + 'oalesce(source, ' + chr(39) + 'none' + chr(39) + ')', t='usable')} AS per_teacher, {_LISTED.format(k=chr(99) + 'oalesce(failure_category, ' + chr(39) + 'missing' + chr(39) + ')', t='fails')} AS failure_categories"
+)
+def dataset_report(spark, d):
+    rows = usable(spark, d)
+    one = rows.groupBy("task_id").agg(F.bool_or("passed").alias("v")).agg(F.count("*").alias("n_tasks"), F.count_if("v").alias("n_verified"))
+    sft = rows.where("passed").select("task_id", "command").distinct().agg(F.count("*").alias("n_sft_records"))
+    dpo = labels.preference_pairs(rows).agg(F.count("*").alias("n_dpo_pairs"))
+    teachers = metrics.listed(rows, F.coalesce("source", F.lit("none")), "per_teacher")
+    failures = metrics.listed(rows.where("not passed"), F.coalesce("failure_category", F.lit("missing")), "failure_categories")
+    # one row each
+    return one.crossJoin(sft).crossJoin(dpo).crossJoin(teachers).crossJoin(failures)
+
+
 _TASKFOLDS = (
     f"RECURSIVE {_SIGNED}, keyed AS (SELECT task_id, provenance.template_family AS family, {_GROUP} AS group_key FROM signed), sizes AS (SELECT group_key, size, row_number() OVER (ORDER BY size DESC, group_key DESC) AS rn FROM (SELECT group_key, count(*) AS size FROM keyed GROUP BY group_key)),"
     " walk AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS group_key, 0::BIGINT AS size, 0::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load"
