@@ -21,7 +21,7 @@ LEAST = 8
 #: Sizes from which a new band begins: BAND * 4**k.
 BAND = 24
 #: Shares of a band's rows at which its levels of slack are cut.
-LEVELS = (0.4, 0.8, 0.97)
+LEVELS = (0.4, 0.8, 0.97, 0.999)
 #: Columns of a key row.
 KEY_ROW = "key long, id long, n int, slack long, boxes int, start int, alike boolean, at int, s0 long, s1 long"
 #: Bits of a sketch.
