@@ -47,12 +47,17 @@ def clean_command(c: Column) -> Column:
     return F.coalesce(F.when(F.size(code) > 0, F.get(code, F.lit(0))), F.get(lines, F.lit(0)), F.lit(""))
 
 
+# Fences and prompt marks as earlier tools took them.
+GIVEN_FENCE = r"^\s*```(?:bash|sh|shell)?\s*|\s*```\s*$"
+GIVEN_MARK = r"^\s*(?:\$|#|>)\s+"
+
+
 def clean_command_as_given(c: Column) -> Column:
     """``clean_command`` with two slips of earlier tools, for corpora that were cleaned by them: the rest of a fence language behind ``sh`` stays, and one leading ``#`` is a prompt mark."""
-    bare = F.regexp_replace(c, r"(?m)^[ \t]*```(?:bash|sh|shell)?|```$", "")
-    lines = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.regexp_replace(strip(x), r"^[$#>]\s+", "")), lambda x: x != "")
-    code = F.filter(lines, lambda x: ~x.startswith("#"))
-    return F.coalesce(F.when(F.size(code) > 0, F.get(code, F.lit(0))), F.get(lines, F.lit(0)), F.lit(""))
+    lines = F.filter(F.split(strip(F.regexp_replace(c, "(?md)" + GIVEN_FENCE, "")), "\n"), lambda x: strip(x) != "")
+    bare = F.transform(lines, lambda x: strip(F.regexp_replace(x, GIVEN_MARK, "")))
+    code = F.filter(bare, lambda x: (x != "") & ~x.startswith("#"))
+    return F.coalesce(F.get(code, F.lit(0)), F.get(bare, F.lit(0)), F.lit(""))
 
 
 def static_risk(c: Column) -> Column:

@@ -91,6 +91,18 @@ def clean_command(spark, d):
     return table(spark, d, "candidates").select("candidate_id", tx.clean_command(F.col("command")).alias("cleaned"))
 
 
+_STRIPPED = Piece("regexp_replace({c}, '^[\\s]+|[\\s]+$', '', 'g')")
+
+
+@query(
+    "WITH l AS (SELECT candidate_id, list_filter(string_split(" + _STRIPPED.format(c=f"regexp_replace(command, '(?m){tx.GIVEN_FENCE}', '', 'g')") + ", chr(10)), lambda x: " + _STRIPPED.format(c="x") + " <> '') AS lines FROM candidates),"
+    " b AS (SELECT candidate_id, list_transform(lines, lambda x: " + _STRIPPED.format(c=f"regexp_replace(x, '{tx.GIVEN_MARK}', '')") + ") AS bare FROM l)"
+    " SELECT candidate_id, coalesce(list_filter(bare, lambda x: x <> '' AND NOT starts_with(x, '#'))[1], bare[1], '') AS cleaned FROM b"
+)
+def clean_command_given(spark, d):
+    return table(spark, d, "candidates").select("candidate_id", tx.clean_command_as_given(F.col("command")).alias("cleaned"))
+
+
 @query(f"WITH {_ONCE} SELECT task_id, pos - 1 AS position, {_CLEAN.format(c='c')} AS cleaned FROM (SELECT task_id, unnest(accepted_commands) AS c, generate_subscripts(accepted_commands, 1) AS pos FROM tasks_once) WHERE c IS NOT NULL")
 def clean_accepted(spark, d):
     rows = once(spark, d).select("task_id", F.posexplode("accepted_commands").alias("position", "c")).where("c is not null")
