@@ -98,6 +98,24 @@ def _key_map(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _id_keys(batch: pa.RecordBatch) -> np.ndarray:
+    return ws.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (id first) that stand in some pair (a, b), by a map of the pairs' ids; a few others may be among them."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    known = _key_map(ids.mapInArrow(_map_rows(lambda batch: [_id_keys(batch)]), "at long, bits long"))
+
+    def run(batches):
+        for batch in batches:
+            kept = np.flatnonzero(_hit(known, _id_keys(batch)))
+            if len(kept):
+                yield batch.take(pa.array(kept))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def _alone(hashes: np.ndarray) -> np.ndarray:
     """Keys of rare words."""
     return ws.mix(hashes + np.uint64(1))

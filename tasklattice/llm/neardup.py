@@ -79,7 +79,7 @@ def candidates(sets: DataFrame, threshold: float, scratch: Scratch, least: int =
     # a pair that shares a rare word needs no box of its frequent words
     pairs = met.groupBy(a, b).agg(F.min("a.boxes").alias("boxes"), F.collect_set("a.start").alias("starts"))
     pairs = scratch.write(pairs, "pairs")
-    held = sets.select("id", "words")
+    held = bx.of_pairs(sets.select("id", "words"), pairs)
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     return both.select("a", "b", "boxes", "starts", "wa", "wb"), order, budget
 

@@ -111,7 +111,8 @@ def segment_join(reps: DataFrame, main: str, other: str, threshold: float, scrat
     allowed = shift * budget.unit <= budget.whole(a("n") + b("n"))
     met = held.join(train, bx.within("a", "b", budget) & (a("id") != b("id")) & allowed)
     pairs = scratch.write(met.select(a("id").alias("a"), b("id").alias("b")).distinct(), "pairs")
-    words = lambda name: reps.select(F.col("id").alias(name), F.col(main).alias(f"m{name}"), F.col(other).alias(f"o{name}"))
+    met_reps = bx.of_pairs(reps.select("id", main, other), pairs)
+    words = lambda name: met_reps.select(F.col("id").alias(name), F.col(main).alias(f"m{name}"), F.col(other).alias(f"o{name}"))
     both = pairs.join(words("a"), "a").join(words("b"), "b").select("a", "b", "ma", "mb", "oa", "ob")
     found = both.mapInArrow(_verify(order, budget), "a long, b long")
     same = reps.where("held and train").select(F.col("id").alias("a"), F.col("id").alias("b"))
